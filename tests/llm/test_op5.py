@@ -1,0 +1,61 @@
+import hashlib
+import random
+import re
+
+from tracelake.llm import op5_pii as P
+
+
+def brute(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        n = re.sub("[^0-9]", "", m[0])
+        d = [int(x) for x in n[::-1]]
+        if 13 <= len(n) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def base(text):
+    return [s for s in P.spans(text) if s[0] in P.BASE]
+
+
+def test_base_spans_equal_the_patterns_on_random_texts():
+    rng = random.Random(5)
+    parts = ["a", "b.c", "@", "x@y.z", "@@", "1", "12", ".", "..", "1.2.3.4", "256.1.1.1", "10.0.0.255", "4111111111111111", "4111 1111 1111 1111", "-", " ", "+", "+49 (30) 1234-567", "(", ")", "é", "\n", "_", "%", "::1", "://"]
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert base(t) == brute(t), t
+
+
+def test_long_runs_and_empty():
+    for t in ("", "1" * 5000, "1." * 3000, "@" * 3000, "a" * 100000 + "@b.c", "+1" * 2000, "4 " * 4000):
+        assert base(t) == brute(t)
+
+
+def test_added_kinds():
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in P.spans(t) if k in P.ADDED]
+    assert kinds("see https://joe:pw1@host.example.com/x") == [("login", "https://joe:pw1@host.example.com")]
+    assert kinds("IBAN: DE89 3704 0044 0532 0130 00.") == [("account", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("IBAN: DE89 3704 0044 0532 0130 01.") == []
+    assert kinds("Account no: 12345678, ssn 123-45-6789") == [("account", "12345678"), ("account", "123-45-6789")]
+    assert kinds("at 2001:db8::1, std::vector and a::b") == [("ip6", "2001:db8::1")]
+    assert kinds("accountable 1234567") == []
+
+
+def test_query_rows(spark):
+    rows = [(1, "x a@b.co y", 0), (None, None, 1), (1, "x a@b.co y", 2), (3, "", 3)]
+    got = P.find(spark.createDataFrame(rows, "doc_id long, text string, spans int"), mask=True).collect()
+    assert sorted((r.doc_id or 0, r.n_email, r.spans, r.masked) for r in got) == [(0, 0, "", ""), (1, 1, "email:2:8", "x <email> y"), (1, 1, "email:2:8", "x <email> y"), (3, 0, "", "")]
+    assert {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"email:2:8").hexdigest()}
+
+
+def test_empty_table(spark):
+    assert P.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,0 +1,92 @@
+"""What the training-data operators share: table access, materialised steps, Arrow helpers."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        at = tempfile.mkdtemp(prefix="tracelake-")
+        sc.setCheckpointDir(at)
+    return at
+
+
+def materialise(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tracelake/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64 over uint64, in place where it can."""
+    with np.errstate(over="ignore"):
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+    """Cut a batch so that the named text column of each piece holds about ``limit`` bytes (one row at least)."""
+    n = batch.num_rows
+    if not n:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < n:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+    """Connected components of an undirected edge list: rows (node, component), component the smallest node.
+
+    Alternates large-star and small-star steps until nothing changes; each step is a min-aggregate (combined before
+    the shuffle, so a hub is no hot spot) and an equi-join back, which adaptive execution splits where a hub is hot.
+    Nodes without edges do not appear. Null ends are dropped.
+    """
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        if large:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            out = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            return out.where("u <> v").distinct()
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        out = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        return out.where("u <> v").distinct()
+
+    seen = None
+    for _ in range(rounds):
+        e = materialise(star(materialise(star(e, True), "star"), False), "star")
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod("u", F.lit(1 << 20)) + F.pmod("v", F.lit(1 << 20)))).first()
+        if now == seen or not now[0]:
+            break
+        seen = now
+    else:
+        raise RuntimeError("components did not settle")
+    top = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return top.unionByName(top.select(F.col("component").alias("node"), "component").distinct())
