@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -90,3 +91,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         raise RuntimeError("components did not settle")
     top = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return top.unionByName(top.select(F.col("component").alias("node"), "component").distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over (it does so when their plans are collected)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

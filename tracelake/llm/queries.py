@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_wavelet, op4_decontaminate, op5_pii, op9_mix, op10_quality
+from . import op2_wavelet, op4_decontaminate, op5_pii, op6_jaccard, op9_mix, op10_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_wavelet_tokens": op2_wavelet.op2_wavelet_tokens,
         "op4_positional_index": op4_decontaminate.op4_positional_index,
         "op5_pii_anchors": op5_pii.op5_pii_anchors,
+        "op6_vertical_jaccard": op6_jaccard.op6_vertical_jaccard,
         "op9_fair_mix": op9_mix.op9_fair_mix,
         "op10_byte_cnn": op10_quality.op10_byte_cnn,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_positional_index": op4_decontaminate.ORACLE, "op9_fair_mix": op9_mix.ORACLE}
+    return {"op4_positional_index": op4_decontaminate.ORACLE, "op6_vertical_jaccard": op6_jaccard.ORACLE, "op9_fair_mix": op9_mix.ORACLE}
