@@ -1,0 +1,70 @@
+import numpy as np
+
+from tracelake.llm import op1_pivots as P
+
+
+def brute(rows, cosine=0.93):
+    ok = [l is not None and v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, l in rows]
+    up, deg = list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
+                a, b = np.array(rows[i][1], float), np.array(rows[j][1], float)
+                if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= cosine:
+                    pairs.add((i, j))
+                    deg[i] += 1
+                    deg[j] += 1
+                    up[find(i)] = find(j)
+    out = []
+    for i, r in enumerate(rows):
+        ids = [rows[k][0] for k in range(len(rows)) if find(k) == find(i) and rows[k][0] is not None]
+        out.append((str(r[0]), deg[i], str(min(ids) if ok[i] and ids else r[0])))
+    return sorted(out), len(pairs)
+
+
+def run(spark, rows, **how):
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, size int, u int").repartition(4)
+    return sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in P.near_duplicates(df, **how).collect())
+
+
+def rows_with_groups(seed, n, groups, most, dim=32):
+    r = np.random.default_rng(seed)
+    f = lambda v: [float(x) for x in v.astype(np.float32)]
+    rows = [(i, f(r.standard_normal(dim)), int(r.integers(0, 3))) for i in range(n)]
+    for _ in range(groups):
+        base, label = r.standard_normal(dim), int(r.integers(0, 3))
+        for _ in range(int(r.integers(2, most))):
+            rows.append((len(rows), f((base + r.standard_normal(dim) * 0.1 * r.choice([0, 1, 1])) * r.choice([1, 3])), label))
+    return rows
+
+
+def test_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    base = [1.0, 2.0, -1.0]
+    rows = [(1, base, 0), (2, base, 0), (2, base, 0), (None, base, 0), (3, base, 1), (4, base, None), (5, None, 0), (6, [0.0] * 3, 0), (7, [nan, 1.0, 1.0], 0), (8, [inf, 1.0, 1.0], 0), (9, [None, 1.0, 2.0], 0), (10, [], 0), (11, [1.0, 2.0], 0), (12, [2.0, 4.0, -2.0], 0), (13, [1e-30, 2e-30, -1e-30], 0), (14, [-1.0, -2.0, 1.0], 0)]
+    assert run(spark, rows) == brute(rows)[0]
+    assert run(spark, []) == []
+
+
+def test_finds_nearly_all_links_and_no_others(spark):
+    rows = rows_with_groups(1, 300, 30, 12)
+    want, n = brute(rows)
+    got = run(spark, rows)
+    assert sum(x[1] for x in got) >= 0.95 * 2 * n
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_long_lists_in_parts(spark, monkeypatch):
+    rows = rows_with_groups(2, 100, 3, 90)
+    whole = run(spark, rows)
+    monkeypatch.setattr(P, "PART", 8)
+    assert run(spark, rows) == whole
+    want, n = brute(rows)
+    assert sum(x[1] for x in whole) >= 0.95 * 2 * n

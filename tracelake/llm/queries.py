@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_wavelet, op4_decontaminate, op5_pii, op6_jaccard, op9_mix, op10_quality
+from . import op1_pivots, op2_wavelet, op4_decontaminate, op5_pii, op6_jaccard, op9_mix, op10_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pivot_permutation": op1_pivots.op1_pivot_permutation,
         "op2_wavelet_tokens": op2_wavelet.op2_wavelet_tokens,
         "op4_positional_index": op4_decontaminate.op4_positional_index,
         "op5_pii_anchors": op5_pii.op5_pii_anchors,
