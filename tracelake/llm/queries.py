@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_pivots, op2_wavelet, op4_decontaminate, op5_pii, op6_jaccard, op9_mix, op10_quality
+from . import op1_pivots, op2_wavelet, op3_lines, op4_decontaminate, op5_pii, op6_jaccard, op8_chat, op9_mix, op10_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_permutation": op1_pivots.op1_pivot_permutation,
         "op2_wavelet_tokens": op2_wavelet.op2_wavelet_tokens,
+        "op3_line_windows": op3_lines.op3_line_windows,
         "op4_positional_index": op4_decontaminate.op4_positional_index,
         "op5_pii_anchors": op5_pii.op5_pii_anchors,
         "op6_vertical_jaccard": op6_jaccard.op6_vertical_jaccard,
+        "op8_snapshot_chat": op8_chat.op8_snapshot_chat,
         "op9_fair_mix": op9_mix.op9_fair_mix,
         "op10_byte_cnn": op10_quality.op10_byte_cnn,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_positional_index": op4_decontaminate.ORACLE, "op6_vertical_jaccard": op6_jaccard.ORACLE, "op9_fair_mix": op9_mix.ORACLE}
+    return {"op3_line_windows": op3_lines.ORACLE, "op8_snapshot_chat": op8_chat.ORACLE, "op4_positional_index": op4_decontaminate.ORACLE, "op6_vertical_jaccard": op6_jaccard.ORACLE, "op9_fair_mix": op9_mix.ORACLE}
