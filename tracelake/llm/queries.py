@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_pivots, op2_wavelet, op3_lines, op4_decontaminate, op5_pii, op6_jaccard, op8_chat, op9_mix, op10_quality
+from . import op1_pivots, op2_wavelet, op3_lines, op4_decontaminate, op5_pii, op6_jaccard, op7_html, op8_chat, op9_mix, op10_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_positional_index": op4_decontaminate.op4_positional_index,
         "op5_pii_anchors": op5_pii.op5_pii_anchors,
         "op6_vertical_jaccard": op6_jaccard.op6_vertical_jaccard,
+        "op7_dom_trees": op7_html.op7_dom_trees,
         "op8_snapshot_chat": op8_chat.op8_snapshot_chat,
         "op9_fair_mix": op9_mix.op9_fair_mix,
         "op10_byte_cnn": op10_quality.op10_byte_cnn,
