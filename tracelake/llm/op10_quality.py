@@ -145,8 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet
 
 
 def score(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """docs with every column kept and score added (``_score``). Null text counts as empty; no shuffle."""
+    """docs with every column kept and score added as ``_score`` (an own column of that name is replaced). Null text
+    counts as empty; repeated rows are kept; no shuffle."""
     spark = docs.sparkSession
+    docs = docs.drop("_score")
     shared = spark.sparkContext.broadcast(net.p)
     names = docs.columns
     schema = docs.select("*", F.lit(0.0).cast("double").alias("_score")).schema

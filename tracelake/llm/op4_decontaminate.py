@@ -35,7 +35,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").alias("text"), F.struct(*docs.columns).alias("row"))
 
 
 def _items(items: DataFrame, window: int) -> DataFrame:
@@ -71,10 +71,10 @@ def _places(postings: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every row of docs: doc_id, text, n_words, n_hit, items (ids of the items with occurring windows, sorted as
+    """Every row of docs: doc_id, row (a struct of all its columns), n_words, n_hit, items (ids of the items with occurring windows, sorted as
     strings), spans (array of hit word positions). Null texts have no words and no hits; items without words have no
     windows; an item id that is null is not listed, its windows count. Repeated rows are kept; an empty benchmark hits
-    nothing. docs needs doc_id and text, benchmark item_id and text; other columns are not read.
+    nothing. docs needs doc_id and text, benchmark item_id and text; what the caller drops of row is not read.
     """
     keyed, items = _keyed(docs), _items(benchmark, window)
     chosen = _rarest(_counted(keyed, items))
@@ -82,6 +82,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     places = _places(index, chosen).join(_small(items), "iid")
     found = materialise(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item", "span", "shift")).alias("places")), "places")
 
+    kind = found.schema["places"].dataType
+
     def starts(place: Column) -> Column:
         """Starts, in the item, of its windows that occur in the document at this shift."""
         same = F.transform(place["item"], lambda w, p: F.when(F.get(F.col("w"), place["shift"] + p) == w, "1").otherwise("0"))
@@ -89,11 +91,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         last = F.size(place["item"]) - place["span"]
         return F.filter(F.sequence(F.lit(0), last), lambda s: F.substring(bits, s + 1, place["span"]) == F.repeat(F.lit("1"), place["span"]))
 
-    with_words = keyed.join(found, ["k1", "k2"], "left").select("doc_id", "text", "places", words(F.col("text")).alias("w"))
-    tested = with_words.select("doc_id", "text", F.size("w").alias("n_words"), F.transform(F.coalesce("places", F.array().cast(found.schema["places"].dataType)), lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), x["span"].alias("span"), starts(x).alias("starts"))).alias("t"))
+    with_words = keyed.join(found, ["k1", "k2"], "left").select("doc_id", "row", "places", words(F.col("text")).alias("w"))
+    tested = with_words.select("doc_id", "row", F.size("w").alias("n_words"), F.transform(F.coalesce("places", F.array().cast(kind)), lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), x["span"].alias("span"), starts(x).alias("starts"))).alias("t"))
     hit = F.filter("t", lambda x: F.size(x["starts"]) > 0)
     covered = F.flatten(F.transform("hit", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(x["shift"] + s, x["shift"] + s + x["span"] - 1)))))
-    return tested.withColumn("hit", hit).select("doc_id", "text", F.col("n_words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(covered)).alias("spans"), F.array_sort(F.array_distinct(F.array_compact(F.transform("hit", lambda x: x["item_id"])))).alias("items"))
+    return tested.withColumn("hit", hit).select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(covered)).alias("spans"), F.array_sort(F.array_distinct(F.array_compact(F.transform("hit", lambda x: x["item_id"])))).alias("items"))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 20, terms: int = 4) -> DataFrame:

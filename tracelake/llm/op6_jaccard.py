@@ -234,7 +234,7 @@ def _count(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
 
 
 def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, key (hash of the text), n_shingles, component_id (smallest doc_id linked to it, itself included).
+    """Per row of docs: doc_id, key (hash of the text), n_shingles, component_id (smallest doc_id linked to it, itself included), group (a number for the component, null for texts without words).
 
     Texts that are null or without words have n_shingles 0 and component_id doc_id. A null doc_id counts as no id: such
     a row gets the smallest id of its group, null if there is none. Repeated rows are kept and form one class. An empty
@@ -270,9 +270,9 @@ def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     release(spark)
     named = classes.select("c", "id").join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    ids = named.select("c", "component").join(smallest, "component").select("c", "component_id")
+    ids = named.select("c", "component").join(smallest, "component").select("c", "component_id", F.col("component").alias("group"))
     out = rows.join(ids, "c", "left")
-    return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
 
 
 def op6_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,14 +63,14 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], si
 
 
 def mix(docs: DataFrame, seed: int = 9, **how) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies (0, 1 or 2), uid.
+    """One row per document: doc_id, source, size, source_size, target, taken, copies (0, 1 or 2), uid, key (hash of the text).
 
     Null texts and texts without words have size 0 and are taken 0 times. Null sources are one source, the last.
     Repeated rows and ids are separate documents (uid tells them apart, the same in each run over the same files).
     Rows come back whole; an empty table gives an empty result. docs needs doc_id, text and source; other columns
     are not read. Reruns agree: the order is a hash of seed, id and row content.
     """
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))).alias("shuffle"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))).alias("shuffle"), F.xxhash64("text").alias("key"))
     rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "mix")
     goals = materialise(targets(rows, **how), "targets")
     bucket = F.conv(F.left("shuffle", F.lit(3)), 16, 10).cast("int")  # BUCKETS values
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, seed: int = 9, **how) -> DataFrame:
     taken = ranked.where(F.col("total") <= F.lit(budget)).groupBy("uid").agg(F.count("*").alias("copies"))
     out = flows.join(taken, "uid", "left")
     n = F.coalesce(F.col("copies"), F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "uid")
+    return out.select("doc_id", "source", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "uid", "key")
 
 
 def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
