@@ -1,0 +1,93 @@
+"""Generation requests: quotas, batches, reproducible draws, request rows; matching responses; retries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.operators.validate import validation
+
+# Subject areas of generated traces, default rates and bounds.
+DOMAINS = ["coding", "data_analysis", "research", "writing", "planning", "math", "troubleshooting", "creative", "education", "business"]
+ERROR_RATE, NO_TOOLS_RATE, FOLLOW_UP_RATE, MIN_STEPS, MAX_STEPS, BATCH = 0.2, 0.2, 0.3, 5, 50, 10
+
+
+def draw(key: Column, purpose: str, seed: int = 0) -> Column:
+    """A number in [0, 1) that depends on seed, purpose and key only."""
+    return F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:{purpose}:"), key.cast("string"))), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+
+
+def quotas(count: int, no_tools: float = NO_TOOLS_RATE, follow_up: float = FOLLOW_UP_RATE) -> list[tuple[bool, bool, int]]:
+    """(has_tools, has_follow_ups, how many), in generation order; fractions are cut off."""
+    bare = int(count * no_tools)
+    out = []
+    for has_tools, n in ((True, count - bare), (False, bare)):
+        many = int(n * follow_up)
+        out += [(has_tools, False, n - many), (has_tools, True, many)]
+    return [q for q in out if q[2] > 0]
+
+
+def batches(spark: SparkSession, count: int, **rates: float) -> DataFrame:
+    """has_tools, has_follow_ups, batch, size: the quotas cut into batches of at most BATCH."""
+    q = spark.createDataFrame(quotas(count, **rates), "has_tools boolean, has_follow_ups boolean, n long")
+    cut = q.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BATCH).cast("long"))).alias("batch"))
+    return cut.select("has_tools", "has_follow_ups", "batch", F.least(F.lit(BATCH), F.col("n") - F.col("batch") * BATCH).cast("long").alias("size"))
+
+
+def shuffled(df: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
+    return df.orderBy(draw(F.col(key), "shuffle", seed), key).limit(count)
+
+
+def plan(spark: SparkSession, count: int, seed: int = 0) -> DataFrame:
+    """One row per request: idx, custom_id, has_tools, has_follow_ups, include_error, num_steps, domain. The first
+    int(count * NO_TOOLS_RATE) rows have no tools; errors need tools."""
+    i = F.col("idx")
+    steps = F.floor(draw(i, "steps", seed) * (MAX_STEPS - MIN_STEPS + 1)).cast("int") + MIN_STEPS
+    domain = F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.floor(draw(i, "domain", seed) * len(DOMAINS)).cast("int") + 1)
+    rows = spark.range(count).withColumnRenamed("id", "idx").withColumn("has_tools", i >= int(count * NO_TOOLS_RATE))
+    return rows.select("idx", F.concat(F.lit("trace-"), i.cast("string")).alias("custom_id"), "has_tools", (draw(i, "follow_up", seed) < FOLLOW_UP_RATE).alias("has_follow_ups"), (F.col("has_tools") & (draw(i, "error", seed) < ERROR_RATE)).alias("include_error"), steps.alias("num_steps"), domain.alias("domain"))
+
+
+def requests(planned: DataFrame, model: str, messages: Column) -> DataFrame:
+    """Rows for a batch file: custom_id, method, url, body struct; messages: array<struct<role, content>>."""
+    return planned.select("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), F.struct(F.lit(model).alias("model"), messages.alias("messages")).alias("body"))
+
+
+def trace_messages(scenario: Column, include_error: Column, steps: Column, system: str, example: str) -> Column:
+    """Chat for one scenario (struct with domain, system_prompt, tools, user_request, follow_up_requests)."""
+    tools = F.transform(scenario["tools"], lambda t: F.concat(F.lit("- "), t["name"], F.lit("("), F.array_join(F.transform(t["params"], lambda p: p["name"]), ", "), F.lit("): "), t["description"]))
+    some = F.size(scenario["tools"]) > 0
+    more = F.transform(scenario["follow_up_requests"], lambda r, i: F.concat(F.lit("  - usr"), (i + 2).cast("string"), F.lit(': "'), r, F.lit('"')))
+    ask = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Domain: "), scenario["domain"]),
+        F.concat(F.lit("System: "), scenario["system_prompt"]),
+        F.concat(F.lit("Request: "), scenario["user_request"]),
+        F.concat(F.lit("Steps: "), steps.cast("string")),
+        F.when(some, F.concat(F.lit("Tools:\n"), F.array_join(tools, "\n"))).otherwise("No tools; reasoning steps only."),
+        F.when(some & include_error, "Let one tool call fail and recover from it."),
+        F.when(F.size(more) > 0, F.concat(F.lit("Follow-up requests:\n"), F.array_join(more, "\n"))),
+    )
+    say = lambda role, content: F.struct(F.lit(role).alias("role"), (F.lit(content) if isinstance(content, str) else content).alias("content"))
+    return F.array(say("system", system), say("user", "Example:\n\n" + example), say("assistant", "I will follow this syntax."), say("user", ask))
+
+
+def match(responses: DataFrame, planned: DataFrame) -> DataFrame:
+    """Each response (custom_id, error, content) with its plan row, if any, and status: failed (error), invalid or valid.
+    Responses without a plan row stay; has_plan tells them apart."""
+    idx = F.split_part("custom_id", F.lit("-"), F.lit(2)).try_cast("long")
+    got = responses.withColumn("idx", idx).withColumn("content", F.btrim("content", F.lit(" \t\r\n")))
+    wrong = F.coalesce(F.col("error"), F.lit("")) != ""
+    status = F.when(wrong, "failed").when(validation("content")["valid"], "valid").otherwise("invalid")
+    own = planned.select("idx", "has_tools", "domain", F.lit(True).alias("has_plan"))
+    return got.withColumn("status", status).join(own, "idx", "left").withColumn("has_plan", F.coalesce("has_plan", F.lit(False)))
+
+
+def outcome(matched: DataFrame) -> DataFrame:
+    return matched.agg(F.count_if(F.col("status") == "valid").alias("n_valid"), F.count_if(F.col("status") != "valid").alias("n_failed"))
+
+
+def first_valid(attempts: DataFrame, key: str = "idx", attempt: str = "attempt", text: str = "content") -> DataFrame:
+    """Per key the first attempt whose text is valid; keys without one do not appear (they are the failures)."""
+    ok = attempts.where(validation(text)["valid"])
+    return ok.groupBy(key).agg(F.min(attempt).alias(attempt), F.min_by(text, attempt).alias(text))
