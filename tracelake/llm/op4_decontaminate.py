@@ -7,7 +7,8 @@
    lists is a count per (document, item, shift); a window can only occur where all its marked positions agree.
 5. Check these places word by word and add up the windows that occur.
 
-The benchmark's words are broadcast if there are at most BROADCAST_ROWS of them, and joined by shuffle otherwise.
+The benchmark's words are broadcast if there are at most BROADCAST_ROWS of them, and joined by shuffle otherwise; the
+same holds for the places to check, if their items have at most BROADCAST_WORDS words, and the documents' texts.
 A document is known by (doc_id, hash of its text): rows with the same id and text have the same result.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-WINDOW, RAREST, BROADCAST_ROWS = 10, 3, 200_000
+WINDOW, RAREST, BROADCAST_ROWS, BROADCAST_WORDS = 10, 3, 200_000, 1_000_000
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -83,6 +84,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     found = materialise(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item", "span", "shift")).alias("places")), "places")
 
     kind = found.schema["places"].dataType
+    size = found.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + F.size(x["item"])))).first()[0] or 0
+    if size <= BROADCAST_WORDS:
+        found = F.broadcast(found)
 
     def starts(place: Column) -> Column:
         """Starts, in the item, of its windows that occur in the document at this shift."""
