@@ -289,10 +289,12 @@ def process_summary(spark, sf_dir):
     return rewrite.summary(rewrite.process_traces(traces(spark, sf_dir)))
 
 
-@query(f"{WITH} SELECT trace_id, regexp_replace(trace, '\\s*🏷\\s*unused_\\d+', '', 'g') AS trace FROM traces WHERE trace_id % 13 = 8 AND NOT contains(trace, 'sys1')")
+@query(rf"""{NEXT} n AS (SELECT trace_id, trace, list_distinct(regexp_extract_all(trace, '🏷\s*["'']?([a-zA-Z_][a-zA-Z0-9_-]*)["'']?', 1)) AS own,
+  list_concat(regexp_extract_all(trace, '※\s*["'']?([a-zA-Z_][a-zA-Z0-9_-]*)["'']?', 1), list_transform(flatten(list_transform(regexp_extract_all(trace, '※\s*\[([^\]]+)\]', 1), lambda x: string_split(x, '•'))), lambda x: trim(trim(x), '"'''))) AS used FROM traces)
+SELECT trace_id, list_reduce(list_prepend(trace, list_sort(list_filter(own, lambda x: NOT list_contains(used, x)))), lambda a, t: CASE WHEN regexp_matches(a, '🏷\s*"' || t || '"') THEN regexp_replace(a, '\s*🏷\s*"' || t || '"', '', 'g')
+  ELSE regexp_replace(a, '\s*🏷\s*' || t || '([^a-zA-Z0-9_-]|$)', '\1', 'g') END) AS trace FROM n""")
 def drop_unused_tags(spark, sf_dir):
-    rows = traces(spark, sf_dir).where((F.col("trace_id") % 13 == 8) & ~F.col("trace").contains("sys1"))
-    return rewrite.process_traces(rows, merge=False, style="none").select("trace_id", "trace")
+    return rewrite.process_traces(traces(spark, sf_dir), merge=False, style="none").select("trace_id", "trace")
 
 
 # Structured rendering, on typed traces made from parts.
@@ -382,12 +384,14 @@ def _draw(purpose: str, key: str = "idx", seed: int = 0) -> str:
     return f"(CAST('0x' || left(md5('{seed}:{purpose}:' || {key}), 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
-_PLAN = f"""r AS (SELECT unnest(range(1000)) AS idx),
-plan AS (SELECT idx, 'trace-' || idx AS custom_id, idx >= 200 AS has_tools, {_draw('follow_up')} < 0.3::DOUBLE AS has_follow_ups, idx >= 200 AND {_draw('error')} < 0.2::DOUBLE AS include_error,
+def _plan_sql(count: int) -> str:
+    bare = int(count * planning.NO_TOOLS_RATE)
+    return f"""r AS (SELECT unnest(range({count})) AS idx),
+plan AS (SELECT idx, 'trace-' || idx AS custom_id, idx >= {bare} AS has_tools, {_draw('follow_up')} < 0.3::DOUBLE AS has_follow_ups, idx >= {bare} AND {_draw('error')} < 0.2::DOUBLE AS include_error,
  CAST(floor({_draw('steps')} * 46) AS INT) + 5 AS num_steps, ['coding', 'data_analysis', 'research', 'writing', 'planning', 'math', 'troubleshooting', 'creative', 'education', 'business'][CAST(floor({_draw('domain')} * 10) AS INT) + 1] AS domain FROM r)"""
 
 
-@query(f"WITH {_PLAN} SELECT * FROM plan")
+@query(f"WITH {_plan_sql(1000)} SELECT * FROM plan")
 def request_plan(spark, sf_dir):
     return planning.plan(spark, 1000)
 
@@ -397,19 +401,19 @@ def request_batches(spark, sf_dir):
     return planning.batches(spark, 123)
 
 
-@query(f"WITH {_PLAN} SELECT idx FROM plan ORDER BY {_draw('shuffle')}, idx LIMIT 50")
+@query(f"WITH {_plan_sql(1000)} SELECT idx FROM plan ORDER BY {_draw('shuffle')}, idx LIMIT 50")
 def shuffled_plan(spark, sf_dir):
     return planning.shuffled(planning.plan(spark, 1000), "idx", 50).select("idx")
 
 
-_MATCH = f"""{NEXT} {_FACTS}, {_PLAN}, q AS (SELECT * FROM plan WHERE idx % 10 <> 7),
+_MATCH = f"""{NEXT} {_FACTS}, {_plan_sql(60)}, q AS (SELECT * FROM plan),
 m AS (SELECT t.trace_id AS idx, CASE WHEN t.trace_id % 17 = 0 THEN 'failed' WHEN t.trace_id IN (SELECT trace_id FROM e) THEN 'invalid' ELSE 'valid' END AS status, q.has_tools, q.domain, q.idx IS NOT NULL AS has_plan FROM traces t LEFT JOIN q ON q.idx = t.trace_id)"""
 
 
 def _matched(spark, sf_dir):
     k = F.col("trace_id")
     got = traces(spark, sf_dir).select(F.concat(F.lit("trace-"), k.cast("string")).alias("custom_id"), F.when(k % 17 == 0, "timeout").alias("error"), F.concat(F.lit("\n"), "trace", F.lit("\n ")).alias("content"))
-    return planning.match(got, planning.plan(spark, 1000).where("idx % 10 <> 7"))
+    return planning.match(got, planning.plan(spark, 60))
 
 
 @query(f"{_MATCH} SELECT * FROM m")
