@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TAPS, FILTERS, HIDDEN = 4, 16, 24
+TAPS, FILTERS, HIDDEN = 4, 24, 32
 HOP, CHUNK = 32, 64
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH = 2000, 20_000, 10, 50
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH = 4000, 20_000, 8, 50
 FOLDS, THRESHOLD = 5, 0.3
 BLOCK = 1 << 14  # bytes convolved at a time, so that activations stay in cache
 
@@ -55,8 +55,8 @@ class ByteNet:
     def conv(self, raw: np.ndarray) -> np.ndarray:
         """Mean activation of each filter in each hop. The filter at byte i sees bytes i-TAPS+1 to i."""
         n = len(raw) - TAPS
-        out = np.empty((n // HOP, FILTERS), np.float32)
         taps, bias = self.p["taps"], self.p["bias"]
+        out = np.empty((n // HOP, FILTERS), taps.dtype)
         for a in range(0, n, BLOCK):
             b = min(n, a + BLOCK)
             z = taps[0].take(raw[a + 1 : b + 1], axis=0)
@@ -70,7 +70,7 @@ class ByteNet:
     def chunks(self, hops: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of the dense layer per chunk (mean activations and their squares), the chunks' first hops, and where each text's chunks begin."""
         first = np.delete(np.arange(len(hops)), starts[1:] - 1)  # the last hop of a text begins no chunk
-        m = (hops[first] + hops[first + 1]) * np.float32(0.5)
+        m = (hops[first] + hops[first + 1]) * hops.dtype.type(0.5)
         return np.concatenate([m, m * m], axis=1), first, starts[:-1] - np.arange(len(starts) - 1)
 
     def forward(self, raw: np.ndarray, starts: np.ndarray):
@@ -85,14 +85,14 @@ class ByteNet:
 
     def gradients(self, raw: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, (x, first, begin, h, top) = self.forward(raw, starts)
-        d = ((p - y) / len(y)).astype(np.float32)
+        d = ((p - y) / len(y)).astype(top.dtype)
         g = {"w2": top.T @ d, "b2": d.sum(keepdims=True)}
         # only the winning chunk of each text and hidden unit learns
         ends = np.append(begin[1:], len(h))
         win = np.stack([a + h[a:b].argmax(axis=0) for a, b in zip(begin, ends, strict=True)])
         dh = d[:, None] * self.p["w2"][None, :] * (top > 0)
         at, back = np.unique(win, return_inverse=True)
-        dz = np.zeros((len(at), HIDDEN), np.float32)
+        dz = np.zeros((len(at), HIDDEN), top.dtype)
         np.add.at(dz, (back.reshape(win.shape), np.arange(HIDDEN)[None, :]), dh)
         g["w1"], g["b1"] = x[at].T @ dz, dz.sum(axis=0)
         dx = dz @ self.p["w1"].T
@@ -111,7 +111,7 @@ class ByteNet:
             g["taps"][k][b[cut]] = np.add.reduceat(da[order], cut, axis=0)
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.01, seed: int = 10) -> ByteNet:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.015, seed: int = 10) -> ByteNet:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
