@@ -55,6 +55,12 @@ def judged(df: DataFrame, cache: DataFrame, ask: Callable[[list[str]], list[str]
     return out.withColumn("cached", F.col("_known").isNotNull()).withColumn("judge_score", F.coalesce("_known", "_fresh")).drop("_known", "_fresh")
 
 
+def remember(judged_rows: DataFrame, path: str) -> None:
+    """Append the new verdicts (not cached, with a score; one per key) to a Parquet cache at path."""
+    new = judged_rows.where("not cached and judge_score is not null").select("cache_key", "judge_score").dropDuplicates(["cache_key"])
+    new.write.mode("append").parquet(path)
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """calls, cache_hits, cache_rate over rows with cached."""
     return rows.agg(F.count_if(~F.col("cached")).alias("calls"), F.count_if("cached").alias("cache_hits"), (F.count_if("cached") / F.greatest(F.lit(1), F.count("*"))).alias("cache_rate"))

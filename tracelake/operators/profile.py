@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,17 @@ def tokenized(df: DataFrame, text: str, encode: Callable[[list[str]], list[list[
 
     cut = df.where(F.col(text).isNotNull()).select(F.slice(ids.asNondeterministic()(F.col(text)), 1, most).alias("input_ids"))
     return cut.where(F.size("input_ids") > least).select("input_ids", F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"), F.col("input_ids").alias("labels"))
+
+
+def cached_tokenized(df: DataFrame, text: str, encode: Callable[[list[str]], list[list[int]]], most: int, folder: str, tokenizer: str) -> DataFrame:
+    """tokenized(), kept under folder by a key of the texts' content, the tokenizer's name and the length; a second call
+    with the same three reads the files."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    seen = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(t)).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), t), F.lit(1 << 31))).alias("s")).first()
+    key = hashlib.md5(f"{seen.n}_{seen.x}_{seen.s}_{tokenizer}_{most}".encode()).hexdigest()[:12]
+    path = f"{folder.rstrip('/')}/tokenized_{key}"
+    try:
+        return df.sparkSession.read.parquet(path)
+    except AnalysisException:
+        tokenized(df, text, encode, most).write.parquet(path)
+        return df.sparkSession.read.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import lex
-from tracelake.operators import judge, parse, planning, profile, prompts, render, rewrite, validate
+from tracelake.operators import display, judge, parse, planning, profile, prompts, render, rewrite, validate
 from tracelake.plans.traces import sql as traces_sql
 from tracelake.plans.traces import traces
 from tracelake.streaming import rolling
@@ -148,6 +148,18 @@ def trace_previews(spark, sf_dir):
     return traces(spark, sf_dir).select("trace_id", lex.count_of("trace", "act {").alias("n_acts"), lex.preview("trace").alias("preview"))
 
 
+@query(f"""{WITH} SELECT count(*) AS n, count(*) FILTER (contains(trace, 'tool {{')) AS n_tools, count(*) FILTER (contains(lower(trace), 'error:')) AS n_errors, count(*) FILTER ((length(trace) - length(replace(trace, 'user「', ''))) // 5 > 1) AS n_multi_turn FROM traces""")
+def trace_characteristics(spark, sf_dir):
+    f = traces(spark, sf_dir).select(lex.flags("trace").alias("f")).select("f.*")
+    return f.agg(F.count("*").alias("n"), F.count_if("has_tools").alias("n_tools"), F.count_if("has_error").alias("n_errors"), F.count_if("multi_turn").alias("n_multi_turn"))
+
+
+@query()
+def display_blocks(spark, sf_dir):
+    rows = traces(spark, sf_dir).select("trace_id", F.posexplode(display.block_rows("trace")).alias("pos", "b"))
+    return rows.select("trace_id", "pos", "b.type", "b.text")
+
+
 # Token profile, over traces and over documents.
 
 _PROFILE = {"traces": "p AS (SELECT trace_id AS index, length(trace) // 4 AS tokens, length(trace) AS chars FROM traces)", "documents": "p AS (SELECT doc_id AS index, length(coalesce(text, '')) // 4 AS tokens, length(coalesce(text, '')) AS chars FROM documents)"}

@@ -76,6 +76,15 @@ def next_number(spark: SparkSession, folder: str) -> int:
     return max(numbers, default=-1) + 1
 
 
+def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
+    """Path of the checkpoint-N folder with the largest N."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(at, "checkpoint-*"))
+    named = [(int(m[1]), f.getPath().toString()) for f in found or [] if f.isDirectory() and (m := re.fullmatch(r"checkpoint-(\d+)", f.getPath().getName()))]
+    return max(named)[1] if named else None
+
+
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite", limit: int | None = None) -> None:
     """JSON lines; nulls are written."""
     (df.limit(limit) if limit else df).write.mode(mode).option("ignoreNullFields", "false").json(path)
