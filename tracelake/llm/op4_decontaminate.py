@@ -8,7 +8,7 @@
 5. Check these places word by word and add up the windows that occur.
 
 The benchmark's words are broadcast if there are at most BROADCAST_ROWS of them, and joined by shuffle otherwise; the
-same holds for the places to check, if their items have at most BROADCAST_WORDS words, and the documents' texts.
+same holds for the places to check and the hits, if they have at most BROADCAST_WORDS words.
 A document is known by (doc_id, hash of its text): rows with the same id and text have the same result.
 """
 
@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 WINDOW, RAREST, BROADCAST_ROWS, BROADCAST_WORDS = 10, 3, 200_000, 1_000_000
-PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+PATTERN, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lower, F.lit(PATTERN), F.lit(0))
+    """The matches of PATTERN with A-Z lower-cased: the pieces between BETWEEN that are not empty. A text of ASCII only,
+    as many bytes as characters, takes the quick way to lower case."""
+    t = F.coalesce(text, F.lit(""))
+    lower = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(lower, BETWEEN), "")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -82,24 +85,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     index = materialise(_postings(keyed, chosen), "postings")
     places = _places(index, chosen).join(_small(items), "iid")
     found = materialise(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item", "span", "shift")).alias("places")), "places")
-
-    kind = found.schema["places"].dataType
     size = found.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + F.size(x["item"])))).first()[0] or 0
-    if size <= BROADCAST_WORDS:
-        found = F.broadcast(found)
-
-    def starts(place: Column) -> Column:
-        """Starts, in the item, of its windows that occur in the document at this shift."""
-        same = F.transform(place["item"], lambda w, p: F.when(F.get(F.col("w"), place["shift"] + p) == w, "1").otherwise("0"))
-        bits = F.array_join(same, "")
-        last = F.size(place["item"]) - place["span"]
-        return F.filter(F.sequence(F.lit(0), last), lambda s: F.substring(bits, s + 1, place["span"]) == F.repeat(F.lit("1"), place["span"]))
-
-    with_words = keyed.join(found, ["k1", "k2"], "left").select("doc_id", "row", "places", words(F.col("text")).alias("w"))
-    tested = with_words.select("doc_id", "row", F.size("w").alias("n_words"), F.transform(F.coalesce("places", F.array().cast(kind)), lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), x["span"].alias("span"), starts(x).alias("starts"))).alias("t"))
-    hit = F.filter("t", lambda x: F.size(x["starts"]) > 0)
-    covered = F.flatten(F.transform("hit", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(x["shift"] + s, x["shift"] + s + x["span"] - 1)))))
-    return tested.withColumn("hit", hit).select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(covered)).alias("spans"), F.array_sort(F.array_distinct(F.array_compact(F.transform("hit", lambda x: x["item_id"])))).alias("items"))
+    # each explode is also a barrier: what is below it is computed once per row, not once per element
+    each = keyed.join(_if_small(found, size), ["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("w"), F.explode("places").alias("x"))
+    bits = F.array_join(F.transform("x.item", lambda t, p: F.when(F.get(F.col("w"), F.col("x.shift") + p) == t, "1").otherwise("0")), "")
+    compared = each.select("k1", "k2", "x.item_id", "x.span", "x.shift", bits.alias("bits"))
+    starts = compared.select("*", F.explode(F.sequence(F.lit(0), F.length("bits") - F.col("span"))).alias("s"))
+    occurs = starts.where(F.substring(F.col("bits"), F.col("s") + 1, F.col("span")) == F.repeat(F.lit("1"), F.col("span")))
+    covered = F.sequence(F.col("shift") + F.col("s"), F.col("shift") + F.col("s") + F.col("span") - 1)
+    hits = occurs.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(covered)))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    hits = materialise(hits, "hits")
+    size = hits.agg(F.sum(F.size("spans"))).first()[0] or 0
+    out = keyed.select("doc_id", "k1", "k2", "row", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(_if_small(hits, size), ["k1", "k2"], "left")
+    return out.select("doc_id", "row", "n_words", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _if_small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_WORDS else df
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 20, terms: int = 4) -> DataFrame:
