@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -35,6 +36,20 @@ def materialise(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Hand texts to Python in batches of about this many bytes, however long single rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system; the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64, in place where it can."""
     with np.errstate(over="ignore"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, trim
 
 TAPS, FILTERS, HIDDEN = 4, 24, 32
 HOP, CHUNK = 32, 64
@@ -148,6 +148,7 @@ def score(docs: DataFrame, net: ByteNet) -> DataFrame:
     """docs with every column kept and score added as ``_score`` (an own column of that name is replaced). Null text
     counts as empty; repeated rows are kept; no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("_score")
     shared = spark.sparkContext.broadcast(net.p)
     names = docs.columns
@@ -167,6 +168,7 @@ def score(docs: DataFrame, net: ByteNet) -> DataFrame:
                     held, size = [], 0
             out.append(own.score(held))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], [*names, "_score"])
+        trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix64, release, table
+from .common import components, materialise, mix64, release, small_batches, table
 
 SAMPLE, PIVOTS, NEAREST, SHARED = 1000, 64, 4, 2
 COSINE, PART = 0.93, 512
@@ -170,6 +170,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PI
     component_id vec_id. Equal vectors link with each other. A null vec_id counts as no id. Repeated rows are separate
     rows. vectors needs vec_id, embedding and label; other columns are not read. An empty table gives no rows.
     """
+    small_batches(vectors.sparkSession)
     rows, entries = _entries(vectors)
     sample = entries.select("v").orderBy(F.xxhash64("e"), "id").limit(SAMPLE).collect()
     known = np.zeros((max(len(sample), nearest), max((len(r.v) for r in sample), default=1)))

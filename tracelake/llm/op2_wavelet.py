@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small_batches, table, trim
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1 << 20
@@ -170,8 +172,8 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Letters of Latin-1 and one mark: the tokenizer splits such a chunk into the lower-case letters and the mark.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
+#: Letters of Latin-1 and marks, no apostrophe: the tokenizer splits such a chunk into the lower-case letters and the marks.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 class WordEncoder:
@@ -198,7 +200,10 @@ class WordEncoder:
     def _model(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.bytes)
-        return np.array([x.id for x in self.t.model.tokenize(word)], dtype=self.kind).tobytes()
+        ids = array("H" if self.kind.itemsize == 2 else "I", [x.id for x in self.t.model.tokenize(word)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         m = _PLAIN.match(chunk) if self.direct else None
@@ -272,6 +277,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
                     yield flush()
         if ids:
             yield flush()
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
@@ -302,6 +308,7 @@ def tokenize(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
     """Write docs as wavelet shards and report each document as read back from them. An empty table gives no rows."""
     import public_tokenizers
 
+    small_batches(docs.sparkSession)
     return read_shards(write_shards(docs, path or public_tokenizers.path(TOKENIZER), **how))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("login", "account", "ip6")
@@ -141,6 +141,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool =
     span replaced by its kind in angle brackets; of overlapping spans the first, longest). Null text counts as empty;
     repeated rows and ids are kept; other columns are not read. No shuffle.
     """
+    small_batches(docs.sparkSession)
     fields = FIELDS if mask else FIELDS[:-1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

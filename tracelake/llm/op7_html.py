@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.25
 SAMPLE_PAGES = 500
@@ -451,6 +451,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text. Repeated rows are kept; other columns are not read; no shuffle.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(models())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
