@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import op2_wavelet, op4_decontaminate, op6_jaccard, op9_mix, op10_quality
-from tracelake.llm.common import materialise, table
+from tracelake.llm.common import materialise, small, table
 
 LAST = (1 << 63) - 1
 
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = rows.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("_k1"), F.col("key").alias("_k2"))).alias("k")).select("k.*")
     keyed = docs.select("*", *_key(docs))
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    best = keyed.where(some).join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    best = keyed.where(some).join(small(materialise(kept, "kept")), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     return best.select(*docs.columns).unionByName(keyed.where(~some).select(*docs.columns))
 
 
@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together."""
     taken = op9_mix.mix(docs).where("copies > 0")
     copies = taken.groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("_k1"), F.col("key").alias("_k2")).agg(F.sum("copies").cast("int").alias("_n"))
-    one = docs.select("*", *_key(docs)).join(copies, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    one = docs.select("*", *_key(docs)).join(small(materialise(copies, "copies")), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     return one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 

@@ -80,3 +80,13 @@ def test_words_are_hashed_like_their_bytes():
     assert at.tolist() == [0, 7, 7, 7, 9, 10] and h[0] == h[8] and h[1] == h[7] and len(set(h.tolist())) == 8
     h2, at2 = J.word_hashes(texts.slice(3))
     assert at2.tolist() == [0, 2, 3] and np.array_equal(h2, h[7:])
+
+
+def test_cut_batches_give_the_same_sets():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["Ab", "c", "É", "word", "\n"]) + str(rng.randint(0, 50)) for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    whole = [x.tolist() for x in J.shingle_sets(batch.column("text"))]
+    assert whole == [J.shingle_sets(pa.array([t]))[0].tolist() for t in texts]
+    cut = list(J.slices(batch, "text", 20_000))
+    assert len(cut) > 3 and [x.tolist() for p in cut for x in J.shingle_sets(p.column("text"))] == whole

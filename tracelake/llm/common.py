@@ -75,6 +75,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
         start = stop
 
 
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df of narrow rows (keys and numbers), to be broadcast if it was counted to have at most so many, else as it is.
+
+    df should be a written table: counting reads it.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """Connected components of an undirected edge list: rows (node, component), component the smallest node.
 

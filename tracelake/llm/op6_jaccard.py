@@ -6,10 +6,13 @@ results; this one keeps passages that many documents share out of the prefixes.
 
 Candidates. Two sets of similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Prefix postings are dealt
 by n-gram; an n-gram that the sketch calls frequent is salted, so that no task gets a hot list. In each list the members
-are paired with the list's first member only (and the first members of a salted list's parts with the smallest of
-them). What is still not connected after these pairs are counted is paired in full, list by list, leaving out lists with
-the same members and pairs that are connected already. So no list is expanded into all pairs unless its members
-really differ, and no link between components is lost.
+are first paired with one of them only, the one that stands in most lists. What is still not connected after these pairs
+are counted is paired list by list, leaving out lists with the same members and pairs that are connected already. So no
+list is expanded into all pairs unless its members really differ, and no link between components is lost.
+
+Two sets that reach the similarity share more than one n-gram of their prefixes: all but the first few that they can
+differ in. Sets that stand in fewer lists than that, and pairs that meet in fewer, are left out before counting (see
+``needed``).
 
 Counting. The order of hashes is cut into FRAGMENTS ranges. The sets of the candidates are shipped by fragment, each pair's
 overlap is counted per fragment and summed per pair.
@@ -25,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix64, release, slices, table
+from .common import components, materialise, mix64, release, slices, small, small_batches, table, trim
 
 N, PERCENT = 5, 80
 SKETCH_BITS = 20
@@ -42,6 +45,7 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) and the first word of each text, with the end."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # the string kernels misread slices whose offsets begin above 0
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     ends = ends - ends[0]
@@ -105,6 +109,7 @@ def _profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                     total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        trim()
         blob = zstandard.compress(total.astype("<u8").tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob], pa.binary())], names)
 
@@ -150,60 +155,63 @@ def _postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     c, n, h, s = zip(*rows, strict=True)
                     at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in h])]), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(h))), pa.ListArray.from_arrays(at, pa.array(np.concatenate(s)))], ["c", "n", "h", "s"])
+        trim()
 
     lists = docs.select("text").mapInArrow(run, "c long, n int, h array<long>, s array<int>")
     return lists.select("c", "n", F.explode(F.arrays_zip("h", "s")).alias("x")).select("x.h", "x.s", "c", "n")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Members of lists with two classes or more, and of parts of salted lists: h, s, c, n, lead, lead_n; lead is the
-    list's smallest class. A list is streamed, so a long one takes no memory."""
+    """Members of lists with two classes or more, and of parts of salted lists: h, c, n, one row each. A list is
+    streamed, so a long one takes no memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "s", "c", "n", "lead", "lead_n"]
-        carry = None  # the last row with its lead and whether it begins its list
-
-        def emit(cols, keep):
-            return pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names)
-
+        carry = None  # the last row and whether it begins its list
         for batch in batches:
             if not batch.num_rows:
                 continue
             h, s, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if carry:
-                h, s, c, n = (np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(carry[:4], (h, s, c, n), strict=True))
+                h, s, c, n = (np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(carry, (h, s, c, n), strict=False))
             new_list = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
             new = new_list | np.concatenate([[True], c[1:] != c[:-1]])
             h, s, c, n, begins = h[new], s[new], c[new], n[new], new_list[new]
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(h)), 0))
-            lead, lead_n = c[first], n[first]
             if carry:
-                own = np.cumsum(begins) == 1  # goes on with the carried list
-                lead, lead_n = np.where(own, carry[4], lead), np.where(own, carry[5], lead_n)
-                begins[0] = carry[6]
-            joined = ~begins
+                begins[0] = carry[4]
+            joined = ~begins | (s >= 0)
             joined[:-1] |= ~begins[1:]
-            joined |= s >= 0
-            carry = (h[-1], s[-1], c[-1], n[-1], lead[-1], lead_n[-1], begins[-1])
-            keep = joined[:-1]
+            carry = (h[-1], s[-1], c[-1], n[-1], begins[-1])
+            keep = np.append(joined[:-1], False)
             if keep.any():
-                yield emit([x[:-1] for x in (h, s, c, n, lead, lead_n)], keep)
-        if carry and (not carry[6] or carry[1] >= 0):
-            yield emit([np.array([x]) for x in carry[:6]], np.array([True]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep], pa.int64()), pa.array(c[keep], pa.int64()), pa.array(n[keep], pa.int32())], ["h", "c", "n"])
+        if carry and (not carry[4] or carry[1] >= 0):
+            yield pa.RecordBatch.from_arrays([pa.array([carry[0]], pa.int64()), pa.array([carry[2]], pa.int64()), pa.array([carry[3]], pa.int32())], ["h", "c", "n"])
 
     dealt = postings.repartition("h", "s").sortWithinPartitions("h", "s", "c")
-    return materialise(dealt.mapInArrow(run, "h long, s int, c long, n int, lead long, lead_n int"), "lists")
+    return materialise(dealt.mapInArrow(run, "h long, c long, n int"), "lists")
+
 
+def needed(na: Column, nb: Column, percent: int) -> Column:
+    """How many n-grams the prefixes of two sets of these sizes share at least, if the sets reach the similarity.
 
-def _close(a: str, b: str, percent: int):
+    They have m = ceil(t (na + nb) / (1 + t)) in common at least, so na - m or fewer of the first set's are its own; the
+    k-th common one stands at k + na - m or before, inside the prefix for all k up to its size less na - m.
+    """
+    up = lambda x, d: F.floor((x + (d - 1)) / d)
+    m = up((na + nb) * percent, 100 + percent)
+    room = lambda n: (n + 1 - up(n * percent, 100)) - (n - m)
+    return F.least(room(na), room(nb))
+
+
+def _close(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def _count(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b, na, nb) that reach the similarity: a, b."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    reps = materialise(classes.join(wanted, "c").select("rep", F.col("c").alias("want")), "wanted")
-    texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(reps, "rep").select("want", "text")
+    reps = materialise(classes.join(wanted, "c").select("rep", "key", F.col("c").alias("want")), "wanted")
+    texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(small(reps), ["rep", "key"]).select("want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)).astype(np.uint64)
@@ -223,6 +231,7 @@ def _count(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
                 if c:
                     at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in seg])]), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(seg)))], ["c", "f", "seg"])
+        trim()
 
     segments = materialise(texts.mapInArrow(run, "c long, f int, seg array<long>").dropDuplicates(["c", "f"]), "segments")
     release(docs.sparkSession)
@@ -236,32 +245,40 @@ def _count(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
 def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, key (hash of the text), n_shingles, component_id (smallest doc_id linked to it, itself included), group (a number for the component, null for texts without words).
 
+    Rows are told apart by id and text, so neither a repeated id nor a repeated text gathers in one place.
+
     Texts that are null or without words have n_shingles 0 and component_id doc_id. A null doc_id counts as no id: such
     a row gets the smallest id of its group, null if there is none. Repeated rows are kept and form one class. An empty
     table gives no rows. docs needs doc_id and text; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
     rows, sketch = _profile(docs)
-    classes = materialise(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("id"), F.max(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep")), "classes")
+    classes = materialise(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("id"), F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "key")).alias("r")).select("c", "id", "r.rep", "r.key"), "classes")
     lists = _shared(_postings(docs, sketch, percent))
     release(spark)
-    star = lists.where((F.col("c") != F.col("lead")) & _close("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("c").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
-    parts = lists.where("s >= 0").select("h", "lead", "lead_n").distinct()
-    top = parts.groupBy("h").agg(F.min(F.struct("lead", "lead_n")).alias("top"))
-    across = parts.join(top, "h").where((F.col("lead") != F.col("top.lead")) & _close("lead_n", "top.lead_n", percent)).select(F.col("top.lead").alias("a"), F.col("lead").alias("b"), F.col("top.lead_n").alias("na"), F.col("lead_n").alias("nb"))
-    tried = materialise(star.union(across).distinct(), "pairs")
+    in_lists = lists.groupBy("c").agg(F.count("*").alias("k"))
+    lists = materialise(lists.join(in_lists, "c"), "lists")
+    enough = lambda k: F.col(k) >= needed(F.col("na"), F.col("nb"), percent)
+    heads = lists.groupBy("h").agg(F.max_by(F.struct("c", "n", "k"), F.struct("k", "c")).alias("head"))
+    star = lists.join(heads, "h").where("c <> head.c").select(F.least("c", "head.c").alias("a"), F.greatest("c", "head.c").alias("b"), F.when(F.col("c") < F.col("head.c"), F.col("n")).otherwise(F.col("head.n")).alias("na"), F.when(F.col("c") < F.col("head.c"), F.col("head.n")).otherwise(F.col("n")).alias("nb"), F.least("k", "head.k").alias("k"))
+    tried = materialise(star.where(_close("na", "nb", percent) & enough("k")).select("a", "b", "na", "nb").distinct(), "pairs")
     links = _count(tried, classes, docs, percent)
     release(spark)
     group = components(links)
-    placed = lists.select("h", "c", "n").distinct().join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    placed = materialise(placed, "placed")
-    open_lists = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.pmod("c", F.lit(1 << 30))).alias("y"), F.count("*").alias("k")).where("lo <> hi")
-    once = open_lists.groupBy("x", "y", "k").agg(F.min("h").alias("h")).select("h")
-    rest = materialise(placed.join(once, "h"), "rest")
-    left = rest.select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("component").alias("ga"))
-    right = rest.select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("component").alias("gb"))
-    cross = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _close("na", "nb", percent)).select("a", "b", "na", "nb").distinct()
+    placed = materialise(lists.join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "placed")
+    open_lists = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.pmod("c", F.lit(1 << 30))).alias("y"), F.count("*").alias("z")).where("lo <> hi")
+    open_lists = materialise(open_lists, "open")
+    once = open_lists.groupBy("x", "y", "z").agg(F.min("h").alias("h")).select("h")
+    # every open list of a class rides along, so that a pair is written in its first common list only, if it has enough
+    own = placed.join(open_lists.select("h"), "h").groupBy("c").agg(F.collect_list("h").alias("hs"))
+    rest = materialise(placed.join(once, "h").join(own, "c"), "rest")
+    side = lambda x: rest.select("h", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.size("hs").alias(f"k{x}"), F.col("hs").alias(f"hs{x}"), F.col("component").alias(f"g{x}"))
+    common = F.array_intersect("hsa", "hsb")
+    likely = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _close("na", "nb", percent) & enough("ka") & enough("kb")
+    met = side("a").join(side("b"), "h").where(likely & (F.col("h") == F.array_min(common)) & (F.size(common) >= needed(F.col("na"), F.col("nb"), percent)))
+    cross = met.select("a", "b", "na", "nb")
     cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
     release(spark)
     more = _count(cross, classes, docs, percent)
