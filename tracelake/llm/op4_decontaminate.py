@@ -7,6 +7,11 @@
    lists is a count per (document, item, shift); a window can only occur where all its marked positions agree.
 5. Check these places word by word and add up the windows that occur.
 
+Near matches are found with the same postings, per window too: its TERMS rarest different words (all, if it has fewer)
+must stand in any order within a stretch of WITHIN words. Each posting of a set's rarest word is a candidate; the
+other words' postings near it narrow, one word after the other, where the stretch can begin. A word that is in no
+document is no term, and a window with too few words that are in any has no near match.
+
 The benchmark's words are broadcast if there are at most BROADCAST_ROWS of them, and joined by shuffle otherwise; the
 same holds for the places to check and the hits, if they have at most BROADCAST_WORDS words.
 A document is known by (doc_id, hash of its text): rows with the same id and text have the same result.
@@ -21,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-WINDOW, RAREST, BROADCAST_ROWS, BROADCAST_WORDS = 10, 3, 200_000, 1_000_000
+WINDOW, WITHIN, TERMS = 10, 20, 4
+RAREST, BROADCAST_ROWS, BROADCAST_WORDS = 3, 200_000, 1_000_000
 PATTERN, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -60,9 +66,14 @@ def _counted(keyed: DataFrame, items: DataFrame) -> DataFrame:
     return terms.join(materialise(seen, "counts"), "word", "left").na.fill(0, ["df"])
 
 
+def _windows(counted: DataFrame) -> DataFrame:
+    """counted once for each window, starting at s, that the position is in."""
+    return counted.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("span") + 1), F.least(F.col("p"), F.col("n") - F.col("span")))))
+
+
 def _rarest(counted: DataFrame) -> DataFrame:
     """The RAREST positions of each window all of whose words occur: iid, span, p, word."""
-    own = counted.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("span") + 1), F.least(F.col("p"), F.col("n") - F.col("span")))))
+    own = _windows(counted)
     w = Window.partitionBy("iid", "s")
     ranked = own.withColumn("least", F.min("df").over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "p")))
     return materialise(ranked.where((F.col("least") > 0) & (F.col("rank") <= RAREST)).select("iid", "span", "p", "word").distinct(), "rarest")
@@ -82,7 +93,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     """
     keyed, items = _keyed(docs), _items(benchmark, window)
     chosen = _rarest(_counted(keyed, items))
-    index = materialise(_postings(keyed, chosen), "postings")
+    return _exact(keyed, items, chosen, materialise(_postings(keyed, chosen), "postings")).drop("k1", "k2")
+
+
+def _exact(keyed: DataFrame, items: DataFrame, chosen: DataFrame, index: DataFrame) -> DataFrame:
+    """contaminated from the postings, with k1 and k2."""
     places = _places(index, chosen).join(_small(items), "iid")
     found = materialise(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item", "span", "shift")).alias("places")), "places")
     size = found.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + F.size(x["item"])))).first()[0] or 0
@@ -97,30 +112,88 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     hits = materialise(hits, "hits")
     size = hits.agg(F.sum(F.size("spans"))).first()[0] or 0
     out = keyed.select("doc_id", "k1", "k2", "row", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(_if_small(hits, size), ["k1", "k2"], "left")
-    return out.select("doc_id", "row", "n_words", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "k1", "k2", "row", "n_words", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _if_small(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_WORDS else df
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 20, terms: int = 4) -> DataFrame:
-    """Near matches: (k1, k2, item_id, pos, n_terms), the places where the item's rarest terms (or all it has) stand in
+def _sets(counted: DataFrame, terms: int) -> DataFrame:
+    """The different sets of rarest words of each item's windows: sid, iid, words (rarest first)."""
+    each = _windows(counted).groupBy("iid", "s").agg(F.array_sort(F.collect_set(F.struct("df", "word"))).alias("w"))
+    seen = each.select("iid", F.least(F.size("w"), F.lit(terms)).alias("need"), F.filter("w", lambda x: x["df"] > 0)["word"].alias("w"))
+    sets = seen.where("size(w) >= need").select("iid", F.slice("w", 1, F.col("need")).alias("words")).distinct()
+    return materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+
+
+def _near(index: DataFrame, sets: DataFrame, within: int) -> DataFrame:
+    """Postings of the sets' rarest words with the other words near: k1, k2, sid, x (the position), starts.
+
+    Bit o of starts: a stretch of within words that has every word begins at x - within + 1 + o with one of them.
+    """
+    if not 0 < within < 63:
+        raise ValueError("within must be from 1 to 62")
+    first = F.lit(within - 1)
+    got = index.join(_small(sets.select("sid", F.col("words")[0].alias("word"))), "word").select("k1", "k2", "sid", F.col("pos").alias("x"))
+    got = materialise(got.distinct().withColumns({"fits": F.lit((1 << within) - 1).cast("long"), "begins": F.lit(1 << (within - 1)).cast("long")}), "near")
+    size = sets.select("sid", F.size("words").alias("n"))
+    for k in range(1, sets.agg(F.max(F.size("words"))).first()[0] or 0):
+        want = sets.where(F.size("words") > k).select("sid", F.col("words")[k].alias("word"))
+        bucket = lambda pos: F.floor(pos / (2 * within))
+        ask = got.join(_small(want), "sid").withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("x") - first), bucket(F.col("x") + first)))))
+        have = index.join(_small(want.select("word").distinct()), "word").select("k1", "k2", "word", "pos", bucket(F.col("pos")).alias("bucket"))
+        met = have.join(_small(ask), ["k1", "k2", "word", "bucket"]).where(F.abs(F.col("pos") - F.col("x")) < within).withColumn("o", F.col("pos") - F.col("x") + first)
+        # the stretches with the word at o begin at o - within + 1 to o
+        fits = F.expr(f"(shiftleft(1L, least(o, {within - 1}) + 1) - 1) & ~(shiftleft(1L, greatest(o - {within - 1}, 0)) - 1)")
+        begins = F.expr(f"if(o < {within}, shiftleft(1L, o), 0L)")
+        met = met.groupBy("k1", "k2", "sid", "x", "fits", "begins").agg(F.bit_or(fits).alias("f"), F.bit_or(begins).alias("b"))
+        met = met.select("k1", "k2", "sid", "x", F.expr("fits & f").alias("fits"), F.expr("begins | b").alias("begins")).where("fits <> 0")
+        over = got.join(_small(size.where(F.col("n") <= k).select("sid")), "sid", "left_semi")
+        got = materialise(met.unionByName(over), "near")
+    return got.select("k1", "k2", "sid", "x", F.expr("fits & begins").alias("starts")).where("starts <> 0")
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, within: int = WITHIN, terms: int = TERMS) -> DataFrame:
+    """Near matches: (k1, k2, item_id, pos, n_terms), the places where the rarest terms of a window of the item stand in
     any order within a stretch of words; k1 is the doc_id (-1 for null), k2 the hash of its text."""
     keyed, items = _keyed(docs), _items(benchmark, WINDOW)
-    once = _counted(keyed, items).groupBy("iid", "word").agg(F.min("df").alias("df")).where("df > 0")
-    w = Window.partitionBy("iid").orderBy("df", "word")
-    chosen = materialise(once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= terms).select("iid", "word"), "rarest")
-    need = chosen.groupBy("iid").agg(F.count("*").alias("need"))
-    near = Window.partitionBy("k1", "k2", "iid").orderBy("pos").rangeBetween(0, within - 1)
-    got = _postings(keyed, chosen).join(_small(chosen), "word").withColumn("n_terms", F.size(F.collect_set("word").over(near)))
-    return got.join(need, "iid").where("n_terms = need").join(items.select("iid", "item_id"), "iid").select("k1", "k2", "item_id", "pos", "n_terms")
+    sets = _sets(_counted(keyed, items), terms)
+    index = materialise(_postings(keyed, sets.select(F.explode("words").alias("word"))), "postings")
+    got = _near(index, sets, within).join(_small(sets), "sid").join(_small(items.select("iid", "item_id")), "iid")
+    each = got.select("*", F.explode(F.sequence(F.lit(0), F.lit(within - 1))).alias("o")).where(F.expr("shiftright(starts, o) & 1") == 1)
+    return each.select("k1", "k2", "item_id", (F.col("x") - within + 1 + F.col("o")).alias("pos"), F.size("words").alias("n_terms")).distinct()
+
+
+def phrase_and_proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contaminated, and in the same rows near (some window has a near match) and near_items (ids of the items with
+    one, sorted as strings), both from one index. An item that occurs is near too."""
+    keyed, items = _keyed(docs), _items(benchmark, WINDOW)
+    counted = _counted(keyed, items)
+    chosen, sets = _rarest(counted), _sets(counted, TERMS)
+    index = materialise(_postings(keyed, chosen.select("word").unionByName(sets.select(F.explode("words").alias("word")))), "postings")
+    pairs = _near(index, sets, WITHIN).select("k1", "k2", "sid").distinct().join(_small(sets.select("sid", "iid")), "sid").join(_small(items.select("iid", "item_id")), "iid")
+    near = materialise(pairs.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("near_items")), "near")
+    size = near.agg(F.sum(F.size("near_items") + 1)).first()[0] or 0
+    out = _exact(keyed, items, chosen, index).join(_if_small(near, size), ["k1", "k2"], "left").drop("k1", "k2")
+    return out.withColumns({"near": F.col("near_items").isNotNull(), "near_items": F.coalesce("near_items", F.array().cast("array<string>"))})
+
+
+def _report(got: DataFrame) -> list[Column]:
+    n = F.size("spans").cast("long")
+    return [got["doc_id"], got["n_words"], n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated")]
 
 
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    n = F.size("spans").cast("long")
-    return got.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+    return got.select(*_report(got))
+
+
+def op4_phrase_and_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_positional_index, n_near, near_sha256 and near. A query of its own, as the SQL of the other
+    has the exact windows only."""
+    got = phrase_and_proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(*_report(got), F.size("near_items").cast("long").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"), "near")
 
 
 ORACLE = r"""

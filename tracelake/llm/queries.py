@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_wavelet_tokens": op2_wavelet.op2_wavelet_tokens,
         "op3_line_windows": op3_lines.op3_line_windows,
         "op4_positional_index": op4_decontaminate.op4_positional_index,
+        "op4_phrase_and_proximity": op4_decontaminate.op4_phrase_and_proximity,
         "op5_pii_anchors": op5_pii.op5_pii_anchors,
         "op6_vertical_jaccard": op6_jaccard.op6_vertical_jaccard,
         "op7_dom_trees": op7_html.op7_dom_trees,
