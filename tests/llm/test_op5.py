@@ -50,6 +50,22 @@ def test_added_kinds():
     assert kinds("accountable 1234567") == []
 
 
+def test_accounts_in_ordinary_sentences_and_full_ip6():
+    kinds = lambda t: [t[a:b] for k, a, b in P.spans(t) if k in P.ADDED]
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for after in ("", " Please pay", " BIC COBADEFF", " 12 EUR", ", thanks", " AND", "\nX", "x"):
+        for iban in (de, spaced, gb):
+            assert kinds(f"IBAN {iban}{after}") == [iban]
+            assert kinds(f"The account {'that was opened ' * 9}is {iban}{after}") == [iban]
+    assert kinds(f"iban {de} or {spaced} or {gb}; account 12345678") == [de, spaced, gb, "12345678"]
+    assert kinds(f"iban {de}1 and {de[:-1]}1 and {de[:-1]}") == [] == kinds(f"no cue {de}")
+    full = "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    for t in (f"at {full}.", f"[{full}]:80", f"ip:{full}, x", f"{full}: up", full):
+        assert kinds(t) == [full]
+    assert kinds("at 0:0:0:0:0:ffff:192.168.1.2!") == ["0:0:0:0:0:ffff:192.168.1.2"]
+    assert kinds(f"1:{full} {full}:1 {full}0 g{full} 12:34:56 1:2:3:4:5:6:7") == []
+
+
 def test_query_rows(spark):
     rows = [(1, "x a@b.co y", 0), (None, None, 1), (1, "x a@b.co y", 2), (3, "", 3)]
     got = P.find(spark.createDataFrame(rows, "doc_id long, text string, spans int"), mask=True).collect()

@@ -1,16 +1,18 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs, digits, schemes, double colons and
+One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs, digits, schemes, colons and
 identifier cues. From each anchor a deterministic local parser expands to the left and right and validates. The base
 kinds (email, ip, card, phone) keep exactly the leftmost, non-overlapping matches of their patterns: a match can only
 begin where its parser starts, so parsing from the anchors in order equals a scan of the whole text.
 
-Added kinds: login (a URL that carries user and password), account (an IBAN with correct check digits anywhere after a
-cue, or 6 to 17 digits or a social security number right after a cue), ip6 (checked by the standard library).
+Added kinds: login (a URL that carries user and password), account (every IBAN with correct check digits anywhere after
+a cue, of its country's length or as long as it is written, or 6 to 17 digits or a social security number right after a cue), ip6 (with :: or in full;
+checked by the standard library).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
 import re
@@ -35,8 +37,11 @@ _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(:[0-9]+)?")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _ACCOUNT = re.compile(r"(?:[ \t]*(?:no|nr|number|num|id)\b\.?)?[ \t]*[:#=]?[ \t]*([0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{6,17})(?![0-9A-Za-z-])", re.I)
+_LENGTHS = dict(x.split(":") for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30".split())
+_IP6 = re.compile(r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){5}(?:(?::[0-9A-Fa-f]{1,4}){2}|:[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|:[0-9A-Fa-f:])")
 _HEX = frozenset("0123456789abcdefABCDEF:")
 _DIGITS = frozenset("0123456789")
+_CAPITAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 def luhn(digits: str) -> bool:
@@ -50,13 +55,30 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def ibans(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """The IBANs from a position on. A candidate may run on into what follows it, so it is tried at its country's length,
+    then whole; one of an unknown country at every end of a run of letters and digits, the longest first."""
+    while m := _IBAN.search(text, at):
+        ends = [k for k in range(m.start(), m.end()) if text[k] != " "]
+        size = int(_LENGTHS.get(m[0][:2], 0))
+        tries = [size, len(ends)] if size else range(len(ends), 14, -1)
+        for n in tries:
+            b = ends[n - 1] + 1 if n <= len(ends) else 0
+            if b and (b == len(text) or text[b] not in _CAPITAL) and iban_ok(text[m.start() : b]):
+                yield m.start(), b
+                at = b
+                break
+        else:
+            at = m.start() + 1
+
+
 def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for d in "0123456789":
         a.add_word(d, ("d", 1))
-    for word, kind in (("@", "@"), ("+", "+"), ("://", "s"), ("::", ":")):
+    for word, kind in (("@", "@"), ("+", "+"), ("://", "s"), ("::", ":"), (":", "6")):
         a.add_word(word, (kind, len(word)))
     for cue in CUES:
         for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
@@ -74,7 +96,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if _AUTOMATON is None:
         _AUTOMATON = _automaton()
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
-    mail = ip = card = phone = acct = 0  # where the next match of a kind may begin
+    mail = ip = card = phone = acct = six = 0  # where the next match of a kind may begin
+    numbers = None  # the IBANs after the first cue
     last_digit = -2
     for end, (kind, size) in _AUTOMATON.iter(text):
         at = end - size + 1
@@ -119,13 +142,28 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                     found["ip6"].append((a, b))
                 except ValueError:
                     pass
+        elif kind == "6":
+            a = at
+            while a and text[a - 1] in _HEX and text[a - 1] != ":" and at - a < 5:
+                a -= 1
+            if six <= a < at and not (a and text[a - 1].isalnum()) and not (a > 1 and text[a - 1] == ":" and text[a - 2] in _HEX) and (m := _IP6.match(text, a)):
+                try:
+                    ipaddress.IPv6Address(m[0])
+                    found["ip6"].append(m.span())
+                    six = m.end()
+                except ValueError:
+                    pass
         elif kind == "c" and end >= acct and not (at and text[at - 1].isalnum()):
+            if numbers is None:
+                numbers = list(ibans(text, end + 1))
             if m := _ACCOUNT.match(text, end + 1):
                 found["account"].append(m.span(1))
                 acct = m.end()
-            elif (m := _IBAN.search(text, end + 1, end + 60)) and iban_ok(m[0]):
-                found["account"].append(m.span())
-                acct = m.end()
+    if numbers:
+        after = dict(numbers)
+        starts = sorted(after)
+        inside = lambda a: (k := bisect.bisect_right(starts, a)) > 0 and after[starts[k - 1]] > a
+        found["account"] = numbers + [x for x in found["account"] if not inside(x[0])]
     return [(k, *s) for k in (*BASE, *ADDED) for s in sorted(found[k])]
 
 
