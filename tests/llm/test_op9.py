@@ -43,3 +43,15 @@ def test_edges(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     r = M.mix(spark.createDataFrame([(1, None, None), (2, "", "x")], "doc_id long, text string, source string")).collect()
     assert [(x.size, x.taken, x.source_size) for x in r] == [(0, 0, 0)] * 2
+
+
+def test_ties_between_sources_go_by_content(spark):
+    rng = random.Random(4)
+    for k in range(3):
+        rows = [(i, "w " * rng.choice([3, 3, 5]), rng.choice(["a", "d", "g"])) for i in range(300)] + [(1, "w w w ", "a"), (1, "w w w ", "d")]
+        got = []
+        for parts in (1, 3, 8):
+            rng.shuffle(rows)
+            docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+            got.append(sorted(map(str, M.mix(docs).select("doc_id", "source", "size", "taken").collect())))
+        assert got[0] == got[1] == got[2]

@@ -104,3 +104,27 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_further_columns_ride_along_whatever_their_names(spark, tmp_path):
+    names = ["doc_id", "text", "source", "k", "k1", "k2", "many", "n", "i", "row", "score", "_score", "a.b"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names[3:])
+    rng = np.random.default_rng(3)
+    good = [test_op10.junk(4 * i + 1, rng) for i in range(60)]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(i, t, "s" if i % 3 else None, *[f"{n}{i}" for n in names[3:]]) for i, t in enumerate([*good, long, None, ""])]
+    rows += [(1, good[1], "s", *["other"] * 10), rows[2], (None, good[5] + " x", None, *[None] * 10)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words at all in any of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names, name
+        got = [tuple(r) for r in out.collect()]
+        assert all(r in rows for r in got), name
+        if name == "near_duplicates":
+            assert got.count(rows[2]) == 1 and len(got) == len({t for _, t, *_ in rows[:-1]})
+        if name == "mix":
+            assert len(got) > len(rows) and all(got.count(r) <= 2 * rows.count(r) for r in rows)
+            assert sorted(map(str, got)) == sorted(map(str, [tuple(r) for r in stage(spark, docs.repartition(5), "").collect()]))
+    assert C.tokens(spark, docs, "").count() == len(rows)

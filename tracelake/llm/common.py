@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,28 +20,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share, ``spark.checkpoint.dir``. Only a session with one local process may leave it unset (tests): it gets a temporary one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tracelake-")
         sc.setCheckpointDir(at)
     return at
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``spent`` deletes the files of a step that nothing reads any more; what is left goes when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tracelake/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark).rstrip('/')}/tracelake/{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, top)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def spent(*steps: DataFrame) -> None:
+    """Delete the files of materialised steps. The caller knows that no frame still to be computed reads them."""
+    for df in steps:
+        fs, at = _file_system(df.sparkSession, df._written)
+        fs.delete(at, True)
 
 
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
-    """Hand texts to Python in batches of about this many bytes, however long single rows are."""
+    """Hand texts to Python in batches of about this many bytes, however long single rows are.
+
+    This sets ``spark.sql.execution.arrow.maxBytesPerBatch`` for the session, as Spark reads it when a frame is computed,
+    after the operator has returned. Other queries of the session get the same small batches, and the same results.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores added as it takes to clash with no column of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A 128-bit hash over all columns of a row, as a struct of two longs; a null differs from any value."""
+    plain = lambda c, t: F.to_json(F.struct(c)) if "map<" in t or "variant" in t else c
+    own = [x for n, t in docs.dtypes for x in (docs[f"`{n}`"].isNull(), plain(docs[f"`{n}`"], t))]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b"))
+
+
 def trim() -> None:
     """Give memory that a task no longer uses back to the system; the worker stays for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -78,12 +123,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
 BROADCAST_ROWS = 500_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, weight: Column | None = None, rows: int | None = None) -> DataFrame:
     """df of narrow rows (keys and numbers), to be broadcast if it was counted to have at most so many, else as it is.
 
-    df should be a written table: counting reads it.
+    weight: how many narrow values a row holds, where it is more than one. df should be a written table: counting
+    reads it.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    rows = BROADCAST_ROWS if rows is None else rows
+    n = df.limit(rows + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= rows else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -108,7 +156,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
 
     seen = None
     for _ in range(rounds):
-        e = materialise(star(materialise(star(e, True), "star"), False), "star")
+        half = materialise(star(e, True), "star")
+        whole = materialise(star(half, False), "star")
+        spent(e, half)
+        e = whole
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod("u", F.lit(1 << 20)) + F.pmod("v", F.lit(1 << 20)))).first()
         if now == seen or not now[0]:
             break

@@ -5,8 +5,8 @@ overlapping chunks that cover the whole text (CHUNK bytes every HOP bytes); a sm
 chunks' outputs are max-pooled over the text, and a logistic unit turns them into one probability.
 
 The network is trained on the driver from a bounded sample of labelled rows: at most TRAIN_ROWS rows, the first by a
-hash of doc_id, of the rows whose crc32(doc_id) mod 5 is not 0, and at most TRAIN_BYTES bytes of each. Scoring reads
-every byte of every text. Label, language, source and id are no inputs of a score.
+hash of doc_id, of the rows whose crc32(doc_id) mod 5 is not 0. A text of more than TRAIN_LONGEST bytes is not in the
+sample, so that the sample fits the driver. Texts are learned from and scored whole, every byte. Label, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import small_batches, table, trim
 
 TAPS, FILTERS, HIDDEN = 4, 24, 32
 HOP, CHUNK = 32, 64
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH = 4000, 20_000, 8, 50
+TRAIN_ROWS, TRAIN_LONGEST, EPOCHS, BATCH = 4000, 200_000, 8, 50
 FOLDS, THRESHOLD = 5, 0.3
 BLOCK = 1 << 14  # bytes convolved at a time, so that activations stay in cache
 
@@ -138,39 +138,41 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null")
     ids = good.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cut = F.substring(F.col("text").cast("binary"), 1, TRAIN_BYTES).alias("text")
-    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "y", cut).orderBy("doc_id").collect()
+    short = texts.where(F.octet_length("text") <= TRAIN_LONGEST)
+    got = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     net = ByteNet()
-    return net.fit([bytes(r.text) for r in got], np.array([r.y for r in got], np.float32)) if got else net
+    return net.fit([r.text.encode("utf-8", "replace") for r in got], np.array([r.y for r in got], np.float32)) if got else net
 
 
-def score(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """docs with every column kept and score added as ``_score`` (an own column of that name is replaced). Null text
-    counts as empty; repeated rows are kept; no shuffle."""
+def score(docs: DataFrame, net: ByteNet, out: str = "_score") -> DataFrame:
+    """docs with every column kept and the score added as ``out``, which must be no column of docs (see common.free).
+    Null text counts as empty; repeated rows are kept; no shuffle."""
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out}")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("_score")
     shared = spark.sparkContext.broadcast(net.p)
     names = docs.columns
-    schema = docs.select("*", F.lit(0.0).cast("double").alias("_score")).schema
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Python is not given names with dots
+    schema = docs.select("*", F.lit(0.0).cast("double").alias("p")).schema
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteNet.__new__(ByteNet)
         own.p = shared.value
         for batch in batches:
-            out, held, size = [], [], 0
+            got, held, size = [], [], 0
             for t in batch.column(at):
                 held.append((t.as_py() or "").encode("utf-8", "replace"))
                 size += len(held[-1])
                 if size > 1 << 21:
-                    out.append(own.score(held))
+                    got.append(own.score(held))
                     held, size = [], 0
-            out.append(own.score(held))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], [*names, "_score"])
+            got.append(own.score(held))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got), pa.float64())], schema.names)
         trim()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, out)
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

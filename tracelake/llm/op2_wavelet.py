@@ -2,9 +2,9 @@
 
 A shard holds the token ids of whole documents in order. Its ids are renumbered densely, their bits are stored as
 planes, most significant first; each plane orders the ids by the bits of the planes before it (zeros first, stable).
-Planes carry a rank directory and are compressed one by one, so a shard is one self-contained byte string from which a
-single token (access), a token's count before a position (rank) and its n-th place (select) can be read without
-decoding the rest.
+Planes carry a rank directory and are compressed in chunks of CHUNK bytes, so a shard is one self-contained byte string
+from which a single token (access), a token's count before a position (rank) and its n-th place (select) can be read by
+unpacking the chunks they touch, one or two of a plane.
 """
 
 from __future__ import annotations
@@ -29,17 +29,39 @@ from .common import materialise, small_batches, table, trim
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits for each entry of a rank directory
-CACHE_WORDS = 1_000_000  # bound of a worker's word cache
-MAGIC = b"WVM1"
+CHUNK = 1 << 14  # bytes of a plane that are compressed together
+CACHE_WORDS = 1 << 17  # bound of a task's word cache
+MAGIC = b"WVM2"
 SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+class Plane:
+    """A packed bit-plane whose chunks are unpacked when they are first read."""
+
+    def __init__(self, chunks: list[bytes]):
+        self.packed, self.open = chunks, {}
+
+    def __getitem__(self, at: slice | int) -> np.ndarray | int:
+        if not isinstance(at, slice):
+            return self._chunk(at // CHUNK)[at % CHUNK]
+        own = [self._chunk(k)[max(0, at.start - k * CHUNK) : max(0, at.stop - k * CHUNK)] for k in range(at.start // CHUNK, min(len(self.packed), -(-at.stop // CHUNK)))]
+        return own[0] if len(own) == 1 else np.concatenate([np.zeros(0, np.uint8), *own])
+
+    def _chunk(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.decompress(self.packed[k]), np.uint8)
+        return self.open[k]
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(zstandard.decompress(c), np.uint8) for c in self.packed]])
+
+
 class WaveletShard:
     """Token ids of a shard's documents: doc_ids (None allowed), lengths, and the wavelet matrix."""
 
-    def __init__(self, doc_ids: list, lengths: np.ndarray, alphabet: np.ndarray, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
+    def __init__(self, doc_ids: list, lengths: np.ndarray, alphabet: np.ndarray, planes: list[Plane] | list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
         self.doc_ids, self.lengths, self.alphabet, self.planes, self.zeros, self.ranks = doc_ids, lengths, alphabet, planes, zeros, ranks
         self.n = int(lengths.sum())
 
@@ -81,8 +103,9 @@ class WaveletShard:
         known = np.array([d is not None for d in self.doc_ids], dtype=np.uint8)
         ids = np.array([0 if d is None else d for d in self.doc_ids], dtype="<i8")
         parts = [known.tobytes(), np.diff(ids, prepend=0).astype("<i8").tobytes(), self.lengths.astype("<u4").tobytes(), self.alphabet.astype("<u4").tobytes()]
-        for plane, rank in zip(self.planes, self.ranks, strict=True):
-            parts += [plane.tobytes(), rank.astype("<u4").tobytes()]
+        parts += [rank.astype("<u4").tobytes() for rank in self.ranks]
+        for plane in self.planes:
+            parts += [plane[a : a + CHUNK].tobytes() for a in range(0, len(plane), CHUNK)]
         packed = [z.compress(p) for p in parts]
         head = json.dumps({"docs": len(self.doc_ids), "tokens": self.n, "zeros": self.zeros, "parts": [len(p) for p in packed]}).encode()
         return MAGIC + struct.pack("<I", len(head)) + head + b"".join(packed)
@@ -94,18 +117,21 @@ class WaveletShard:
         (size,) = struct.unpack_from("<I", data, 4)
         head, at, z, parts = json.loads(data[8 : 8 + size]), 8 + size, zstandard.ZstdDecompressor(), []
         for n in head["parts"]:
-            parts.append(z.decompress(data[at : at + n]))
+            parts.append(data[at : at + n])
             at += n
-        known, ids = np.frombuffer(parts[0], np.uint8), np.cumsum(np.frombuffer(parts[1], "<i8"))
-        planes = [np.frombuffer(p, np.uint8) for p in parts[4::2]]
-        return cls([int(i) if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(parts[2], "<u4").astype(np.int64), np.frombuffer(parts[3], "<u4"), planes, head["zeros"], [np.frombuffer(p, "<u4") for p in parts[5::2]])
+        levels = len(head["zeros"])
+        known, ids, lengths, alphabet, *ranks = [z.decompress(p) for p in parts[: 4 + levels]]
+        known, ids, chunks = np.frombuffer(known, np.uint8), np.cumsum(np.frombuffer(ids, "<i8")), parts[4 + levels :]
+        each = len(chunks) // levels
+        planes = [Plane(chunks[k * each : (k + 1) * each]) for k in range(levels)]
+        return cls([int(i) if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(lengths, "<u4").astype(np.int64), np.frombuffer(alphabet, "<u4"), planes, head["zeros"], [np.frombuffer(r, "<u4") for r in ranks])
 
     def decode(self) -> np.ndarray:
-        """All ids in order: the planes' partitions undone from the last to the first."""
+        """All ids in order, of a shard read from bytes: the planes' partitions undone from the last to the first."""
         wide = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         v = np.zeros(self.n, dtype=wide)
         for level, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            one = np.unpackbits(plane, count=self.n).view(bool)
+            one = np.unpackbits(plane.whole(), count=self.n).view(bool)
             w = np.empty_like(v)
             v[z:] |= wide(1 << level)
             w[one] = v[z:]
@@ -172,16 +198,23 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Letters of Latin-1 and marks, no apostrophe: the tokenizer splits such a chunk into the lower-case letters and the marks.
+#: Letters of Latin-1 and marks, no apostrophe: a tokenizer with the steps SPLITS splits such a chunk into the lower-case letters and the marks.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+# fixed values: the steps before the model for which that holds, and for which no token crosses white space
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 
 
 class WordEncoder:
     """Encodes text by chunks between spaces and line feeds, each chunk once.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are its chunks' ids in order. A chunk of
-    letters goes to the tokenizer's model directly, any other through the whole tokenizer. Ids are little-endian
-    16-bit, or 32-bit where the vocabulary needs them. The cache is emptied when it holds CACHE_WORDS words.
+    Where the tokenizer's steps are those in SPLITS it drops white space and no token crosses it, so a text's ids are its
+    chunks' ids in order; a chunk of letters goes to the model directly, any other through the whole tokenizer. Any
+    other tokenizer gets whole texts. Ids are little-endian 16-bit, or 32-bit where the vocabulary needs them. The cache
+    is emptied when it holds CACHE_WORDS words, and at the end of a task.
     """
 
     def __init__(self, path: str):
@@ -191,8 +224,9 @@ class WordEncoder:
         others = iter(range(256, 512))
         self.bytes = {i: chr(i) if i in keep else chr(next(others)) for i in range(256)}
         self.words: dict[str, bytes] = {"": b""}
-        plain = "Straßé"
-        self.direct = self._model(plain.lower()) == self._whole(plain)
+        steps = json.loads(self.t.to_str())
+        words = [x["content"] for x in steps["added_tokens"]]
+        self.direct = all(steps[k] == v for k, v in SPLITS.items()) and not any(re.search(r"\s", w) for w in words)
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.t.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -206,7 +240,7 @@ class WordEncoder:
         return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        m = _PLAIN.match(chunk) if self.direct else None
+        m = _PLAIN.match(chunk)
         if not m:
             return self._whole(chunk)
         word, mark = m[1].lower(), m[2]
@@ -220,6 +254,8 @@ class WordEncoder:
         return got
 
     def encode(self, text: str) -> bytes:
+        if not self.direct:
+            return self._whole(text)
         chunks = text.replace("\n", " ").split(" ")
         words = self.words
         try:
@@ -277,6 +313,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
                     yield flush()
         if ids:
             yield flush()
+        enc.words = {"": b""}
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
@@ -298,8 +335,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(s.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(s.lengths, pa.int64()), pa.array(crc, pa.int64())], ["part", "seq", "place", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
-    first = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("ahead"))
+    # words of the parts before (one row per part, as many as the writer had tasks), then of the part's shards before
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    first = shards.select("part", "seq", inside.alias("inside")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("ahead"))
     docs = shards.select("part", "seq", "payload").mapInArrow(unpack, "part int, seq int, place long, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return docs.join(first, ["part", "seq"]).select("doc_id", (F.col("ahead") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "part", "seq", "place")
 

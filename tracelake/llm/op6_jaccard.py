@@ -1,23 +1,23 @@
-"""Exact n-gram Jaccard self-join with a vertically partitioned global order.
-
-Order. A fixed-size counting sketch over all documents (one counter per hash bucket, summed in a tree of bounded fan-in)
-gives every n-gram a rough frequency. The global order is (sketch count, hash): rare first. Any order gives exact
-results; this one keeps passages that many documents share out of the prefixes.
-
-Candidates. Two sets of similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Prefix postings are dealt
-by n-gram; an n-gram that the sketch calls frequent is salted, so that no task gets a hot list. In each list the members
-are first paired with one of them only, the one that stands in most lists. What is still not connected after these pairs
-are counted is paired list by list, leaving out lists with the same members and pairs that are connected already. So no
-list is expanded into all pairs unless its members really differ, and no link between components is lost.
-
-Two sets that reach the similarity share more than one n-gram of their prefixes: all but the first few that they can
-differ in. Sets that stand in fewer lists than that, and pairs that meet in fewer, are left out before counting (see
-``needed``).
-
-Counting. The order of hashes is cut into FRAGMENTS ranges. The sets of the candidates are shipped by fragment, each pair's
-overlap is counted per fragment and summed per pair.
-
-Equal sets form one class (64-bit digest of set and size) before everything else, so copies cost one aggregate.
+"""Exact n-gram Jaccard self-join by vertical partitioning of a global n-gram order.
+
+Order. A fixed-size counting sketch over all documents (one counter per range of hashes, summed in a tree of bounded
+fan-in) gives every n-gram a rough frequency. The global order is (rank of that frequency, hash): rare first. Any order
+gives exact results; this one keeps passages that many documents share at its end.
+
+Candidates. Two sets of similarity t share an n-gram among the first n - ceil(t n) + 1 of each, all but the first few of
+them even more than one (see ``needed``). These prefixes of the order are dealt by n-gram; an n-gram that the sketch calls
+frequent is salted, so that no task gets a hot list. A list's members are first paired with its head (the member that
+stands in most lists) only. What is still not connected after these pairs are counted is paired list by list, leaving out lists with the same
+members and pairs that are connected already or meet in too few lists. So no list is expanded into all pairs unless its
+members really differ, and no link between components is lost. (Joining whole fragments directly, without prefixes, would
+write every pair of documents that shares any n-gram.)
+
+Counting. The global order is cut into FRAGMENTS ranges of about the same mass. Each set goes once per head to each
+fragment; a task counts the partial overlaps of a head with its members in one fragment, and the counts are summed per
+pair. A head with many members is repeated for every HEAD_PART of them.
+
+Equal sets form one class (128-bit digest) before everything else, so copies cost one aggregate. Lists hold the digest's
+first 64 bits; classes that agree in these but not in the rest are told apart before they are counted.
 """
 
 from __future__ import annotations
@@ -28,16 +28,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix64, release, slices, small, small_batches, table, trim
+from .common import components, materialise, mix64, release, slices, small, small_batches, spent, table, trim
 
 N, PERCENT = 5, 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 FRAGMENTS = 4
 PART = 1024  # a list with more members than this, by the sketch, is salted
+HEAD_PART = 256  # members that meet one copy of their head
 FAN_IN = 32
+NO_ID = -(1 << 63)
+WEIGHT_BITS = 12
+MOST = (1 << WEIGHT_BITS) - 1
 
 _C = mix64(np.arange(1, N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
@@ -86,38 +90,82 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def digest(own: np.ndarray) -> int:
+def digest(own: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
-        return int(mix64(np.array([mix64(own).sum() + np.uint64(len(own)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64)).view(np.int64)[0])
+        sums = [mix64(own ^ _C[j]).sum() + np.uint64(len(own)) * _C[j + 1] for j in range(2)]
+        a, b = mix64(np.array(sums, np.uint64)).view(np.int64).tolist()
+    return a, b
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + 1 - -(-n * percent // 100)
 
 
-def _profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, key, n, c) per row, c the class; and the sketch."""
+def _pack(counts: np.ndarray) -> bytes:
+    """Counters byte plane by byte plane: the high planes are almost empty."""
+    low = np.minimum(counts, (1 << 32) - 1).astype("<u4")
+    return zstandard.compress(np.ascontiguousarray(low.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.uint64)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+class Order:
+    """The global order: a rank per counter, in standard deviations above the mean and on a log scale, and the cuts of the fragments."""
+
+    def __init__(self, counts: np.ndarray):
+        self.unit = max(1.0, float(np.sqrt(counts.mean())))
+        above = np.maximum(0.0, (counts - counts.mean()) / self.unit)
+        self.ranks = np.minimum(255, np.round(16 * np.log2(1 + above))).astype(np.uint8)
+        mass = np.cumsum(np.bincount(self.ranks, weights=counts, minlength=256))
+        self.cuts = np.zeros(FRAGMENTS - 1, np.uint64)
+        for k in range(1, FRAGMENTS):
+            goal = mass[-1] * k / FRAGMENTS
+            r = int(np.searchsorted(mass, goal))
+            before = mass[r - 1] if r else 0.0
+            share = (goal - before) / (mass[r] - before) if mass[r] > before else 0.0
+            self.cuts[k - 1] = np.uint64(r << 56 | int(share * ((1 << 56) - 1)))
+
+    def keys(self, own: np.ndarray) -> np.ndarray:
+        """The n-grams' places in the order: rank, then 56 bits of the hash."""
+        return self.ranks[_bucket(own)].astype(np.uint64) << np.uint64(56) | own >> np.uint64(8)
+
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        """Into how many parts an n-gram's list is salted."""
+        length = (np.exp2((keys >> np.uint64(56)).astype(np.float64) / 16) - 1) * self.unit
+        return np.maximum(1, (length / PART).astype(np.int64) + 1)
+
+
+def _profile(docs: DataFrame) -> tuple[DataFrame, Order]:
+    """(doc_id, key, n, c1, c2) per row, c1 and c2 the class's digest; and the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, names = np.zeros(1 << SKETCH_BITS, np.uint32), ["doc_id", "key", "n", "c", "task", "sketch"]
+        total, names = np.zeros(1 << SKETCH_BITS, np.uint32), ["doc_id", "key", "n", "c1", "c2", "task", "sketch"]
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = shingle_sets(piece.column("text"))
-                if sum(map(len, sets)):
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
-                k = len(sets)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                for own in sets:
+                    np.add.at(total, _bucket(own), np.uint32(1))
+                k, both = len(sets), [digest(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([c[0] for c in both], pa.int64()), pa.array([c[1] for c in both], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        blob = _pack(total)
         trim()
-        blob = zstandard.compress(total.astype("<u8").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())], pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob], pa.binary())], names)
 
-    both = materialise(docs.mapInArrow(run, "doc_id long, key long, n int, c long, task int, sketch binary"), "profile")
+    both = materialise(docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n int, c1 long, c2 long, task int, sketch binary"), "profile")
 
     def add(pdf):
-        total = sum(np.frombuffer(zstandard.decompress(b), "<u8") for b in pdf["sketch"])
-        return pdf.iloc[:1][["task"]].assign(task=pdf["task"].iloc[0] // FAN_IN, sketch=zstandard.compress(total.astype("<u8").tobytes(), 1))
+        total = np.zeros(1 << SKETCH_BITS, np.uint64)
+        for blob in pdf["sketch"]:
+            total += _unpack(blob)
+        return pdf.iloc[:1][["task"]].assign(task=pdf["task"].iloc[0] // FAN_IN, sketch=_pack(total))
 
     tree = both.where("sketch is not null").select("task", "sketch")
     while True:
@@ -125,17 +173,14 @@ def _profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if len(rows) < 2:
             break
         tree = materialise(tree.groupBy((F.col("task") / FAN_IN).cast("int")).applyInPandas(add, "task int, sketch binary"), "sketch")
-    sketch = np.frombuffer(zstandard.decompress(bytes(rows[0].sketch)), "<u8") if rows else np.zeros(1 << SKETCH_BITS, np.uint64)
-    return both.where("sketch is null").select("doc_id", "key", "n", "c"), sketch
+    return both.where("sketch is null").select("doc_id", "key", "n", "c1", "c2"), Order(_unpack(bytes(rows[0].sketch)) if rows else np.zeros(1 << SKETCH_BITS, np.uint64))
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """Prefix postings: n-gram h, part s (-1 unless salted), class c, size n."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32))  # fixed size
-    mean = int(sketch.mean())
+def _postings(docs: DataFrame, shared, percent: int) -> DataFrame:
+    """Prefix postings: n-gram h (its place in the order), part s (-1 unless salted), class c, size n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        order, seen = shared.value, set()
         for batch in batches:
             for piece in slices(batch, "text"):
                 rows = []
@@ -143,14 +188,13 @@ def _postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     if not len(own) or (c := digest(own)) in seen:  # a copy met before in this task
                         continue
                     seen.add(c)
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 50_000:
                         seen.clear()
-                    freq = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    k = prefix_size(len(own), percent)
-                    order = np.lexsort((own, freq))[:k] if k < len(own) else slice(None)
-                    parts = np.maximum(1, (freq[order].astype(np.int64) - mean) // PART + 1)
-                    salt = np.where(parts > 1, (c & 0x7FFFFFFF) % parts, -1)
-                    rows.append((c, len(own), own[order].view(np.int64), salt.astype(np.int32)))
+                    keys, k = order.keys(own), prefix_size(len(own), percent)
+                    first = np.partition(keys, k - 1)[:k] if k < len(own) else keys
+                    parts = order.parts(first)
+                    salt = np.where(parts > 1, (c[0] & 0x7FFFFFFF) % parts, -1)
+                    rows.append((c[0], len(own), first.view(np.int64), salt.astype(np.int32)))
                 if rows:
                     c, n, h, s = zip(*rows, strict=True)
                     at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in h])]), pa.int32())
@@ -161,10 +205,13 @@ def _postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     return lists.select("c", "n", F.explode(F.arrays_zip("h", "s")).alias("x")).select("x.h", "x.s", "c", "n")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Members of lists with two classes or more, and of parts of salted lists: h, c, n, one row each. A list is
+def _lists(postings: DataFrame) -> DataFrame:
+    """Members of lists with two classes or more, and of parts of salted lists: h, s, c, n, one row each. A list is
     streamed, so a long one takes no memory."""
 
+    def batch_of(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["h", "s", "c", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None  # the last row and whether it begins its list
         for batch in batches:
@@ -173,22 +220,22 @@ def _shared(postings: DataFrame) -> DataFrame:
             h, s, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if carry:
                 h, s, c, n = (np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(carry, (h, s, c, n), strict=False))
-            new_list = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
-            new = new_list | np.concatenate([[True], c[1:] != c[:-1]])
-            h, s, c, n, begins = h[new], s[new], c[new], n[new], new_list[new]
+            begins = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+            new = begins | np.concatenate([[True], c[1:] != c[:-1]])
+            h, s, c, n, begins = (x[new] for x in (h, s, c, n, begins))
             if carry:
                 begins[0] = carry[4]
-            joined = ~begins | (s >= 0)
-            joined[:-1] |= ~begins[1:]
-            carry = (h[-1], s[-1], c[-1], n[-1], begins[-1])
-            keep = np.append(joined[:-1], False)
+            keep = ~begins | (s >= 0)
+            keep[:-1] |= ~begins[1:]
+            carry = tuple(x[-1] for x in (h, s, c, n, begins))
+            keep[-1] = False
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep], pa.int64()), pa.array(c[keep], pa.int64()), pa.array(n[keep], pa.int32())], ["h", "c", "n"])
+                yield batch_of([x[keep] for x in (h, s, c, n)])
         if carry and (not carry[4] or carry[1] >= 0):
-            yield pa.RecordBatch.from_arrays([pa.array([carry[0]], pa.int64()), pa.array([carry[2]], pa.int64()), pa.array([carry[3]], pa.int32())], ["h", "c", "n"])
+            yield batch_of([[x] for x in carry[:4]])
 
     dealt = postings.repartition("h", "s").sortWithinPartitions("h", "s", "c")
-    return materialise(dealt.mapInArrow(run, "h long, c long, n int"), "lists")
+    return materialise(dealt.mapInArrow(run, "h long, s int, c long, n int"), "lists")
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -207,39 +254,120 @@ def _close(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _count(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that reach the similarity: a, b."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    reps = materialise(classes.join(wanted, "c").select("rep", "key", F.col("c").alias("want")), "wanted")
-    texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(small(reps), ["rep", "key"]).select("want", "text")
+def _with_heads(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb, hub) of a list's head and another member, if both stand in enough lists to reach the similarity.
+
+    The head is the class that stands in most lists: of a text and its changed copies mostly the text itself. The heads
+    of a salted list's parts are paired with the first of them as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)).astype(np.uint64)
-        done = set()
+        last = head = None
+        for batch in batches:
+            h, s, *own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if not len(h):
+                continue
+            begins = np.concatenate([[(h[0], s[0]) != last], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+            start = np.maximum.accumulate(np.where(begins, np.arange(len(h)), -1))
+            heads = [np.where(start < 0, head[k] if head else 0, x[np.maximum(start, 0)]) for k, x in enumerate(own)]
+            last, head = (h[-1], s[-1]), [x[-1] for x in heads]
+            yield pa.RecordBatch.from_arrays([pa.array(x[~begins]) for x in (*own, *heads)], ["c", "n", "k", "hc", "hn", "hk"])
+
+    # a class stands in as many lists as its prefix has n-grams, so it makes no task larger than its text does
+    counted = lists.repartition("c").withColumn("k", F.count("*").over(Window.partitionBy("c")).cast("int"))
+    dealt = counted.select("h", "s", "c", "n", "k").repartition("h", "s").sortWithinPartitions("h", "s", F.desc("k"), "c")
+    own = dealt.mapInArrow(run, "c long, n int, k int, hc long, hn int, hk int")
+    salted = lists.where("s >= 0")
+    ks = lists.join(salted.select("c").distinct(), "c").groupBy("c").agg(F.count("*").cast("int").alias("k"))
+    tops = salted.join(ks, "c").groupBy("h", "s").agg(F.min(F.struct(-F.col("k"), "c", "n")).alias("t"))
+    first = tops.groupBy("h").agg(F.min("t").alias("f"))
+    between = tops.join(first, "h").where("t.c <> f.c").select("t.c", "t.n", (-F.col("t.col1")).alias("k"), F.col("f.c").alias("hc"), F.col("f.n").alias("hn"), (-F.col("f.col1")).alias("hk"))
+    met = own.unionByName(between).where(_close("n", "hn", percent) & (F.least("k", "hk") >= needed(F.col("n"), F.col("hn"), percent)))
+    low = F.col("c") < F.col("hc")
+    pairs = met.select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b"), F.when(low, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(low, F.col("hn")).otherwise(F.col("n")).alias("nb"), F.when(low, "b").otherwise("a").alias("hub"))
+    return materialise(pairs.groupBy("a", "b", "na", "nb").agg(F.min("hub").alias("hub")), "pairs")
+
+
+def _across(lists: DataFrame, group: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb, hub), not among those tried, of classes in different components that share enough of their lists."""
+    placed = lists.select("h", "c", "n").join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    placed = materialise(placed, "placed")
+    # lists with the same members are one list of weight m; x, y and z tell sets of members apart
+    opened = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.pmod("c", F.lit(1 << 30))).alias("y"), F.count("*").alias("z")).where("lo <> hi")
+    once = opened.groupBy("x", "y", "z").agg(F.min("h").alias("h"), F.count("*").alias("m"))
+    # the weight rides in the last bits of the list's number; the largest one stands for itself and more
+    once = materialise(once.select("h", (F.shiftleft(F.monotonically_increasing_id(), WEIGHT_BITS) + F.least("m", F.lit(MOST))).alias("l")), "open")
+    members = materialise(placed.join(once, "h").drop("h"), "members")
+    # every open list of a class rides along, so that a pair is written in its first common list only, if it has enough
+    own = members.groupBy("c").agg(F.collect_list("l").alias("ls"))
+    rest = materialise(members.join(own, "c"), "rest")
+    side = lambda x: rest.select("l", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("ls").alias(f"ls{x}"), F.col("component").alias(f"g{x}"))
+    common = F.array_intersect("lsa", "lsb")
+    weight = F.aggregate(common, F.lit(0).cast("long"), lambda w, x: w + F.when(x.bitwiseAND(MOST) == MOST, 1 << 40).otherwise(x.bitwiseAND(MOST)))
+    likely = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _close("na", "nb", percent)
+    met = side("a").join(side("b"), "l").where(likely & (F.col("l") == F.array_min(common)) & (weight >= needed(F.col("na"), F.col("nb"), percent))).select("a", "b", "na", "nb", F.lit("a").alias("hub"))
+    cross = materialise(met.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    spent(placed, once, members, rest)
+    release(lists.sparkSession)
+    return cross
+
+
+def _count(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shared, percent: int) -> DataFrame:
+    """Those of pairs (a, b, na, nb, hub) that reach the similarity: a, b, by the classes' numbers. The set of a meets
+    those of its pairs, or the set of b where hub says so."""
+    turned = F.col("hub") == "b"
+    pairs = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD_PART).cast("int").alias("parts"))
+    place = lambda p, head: F.struct(F.col("a").alias("g"), p.alias("p"), F.lit(head).alias("head"))
+    members = pairs.join(parts, "a").select(F.col("b").alias("c"), F.lit(-1).alias("run"), place(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), False).alias("at"))
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select(F.col("a").alias("c"), F.floor(F.col("p") / 64).cast("int").alias("run"), place(F.col("p"), True).alias("at"))
+    wanted = members.unionByName(heads).groupBy("c", "run").agg(F.collect_list("at").alias("at"))
+    reps = materialise(wanted.join(classes, wanted["c"] == classes["c1"]).select("rep", "key", "c1", "c2", "cid", "at"), "wanted")
+    texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(small(reps, F.size("at")), ["rep", "key"]).select("c1", "c2", "cid", "at", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
         for batch in batches:
             for piece in slices(batch, "text"):
-                c, f, seg = [], [], []
-                for want, own in zip(piece.column("want").to_pylist(), shingle_sets(piece.column("text")), strict=True):
-                    if want in done or not len(own) or digest(own) != want:
-                        continue
-                    done.add(want)
-                    for k, part in enumerate(np.split(own, np.searchsorted(own, cuts))):
-                        if len(part):
-                            c.append(want)
-                            f.append(k)
-                            seg.append(part.view(np.int64))
-                if c:
-                    at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in seg])]), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(seg)))], ["c", "f", "seg"])
+                out = []
+                for c1, c2, cid, at, own in zip(*[piece.column(k).to_pylist() for k in range(4)], shingle_sets(piece.column("text")), strict=True):
+                    if len(own) and digest(own) == (c1, c2):
+                        keys = np.sort(order.keys(own))
+                        for f, part in enumerate(np.split(keys, np.searchsorted(keys, order.cuts))):
+                            if len(part):
+                                out += [(x["g"], x["p"], f, 0 if x["head"] else 1, cid, len(own), part.tobytes()) for x in at]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["g", "p", "f", "side", "cid", "n", "seg"])
         trim()
 
-    segments = materialise(texts.mapInArrow(run, "c long, f int, seg array<long>").dropDuplicates(["c", "f"]), "segments")
-    release(docs.sparkSession)
-    left = pairs.join(segments.select(F.col("c").alias("a"), "f", F.col("seg").alias("seg_a")), "a")
-    both = left.join(segments.select(F.col("c").alias("b"), "f", F.col("seg").alias("seg_b")), ["b", "f"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("common"))
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heads, last = None, [], None  # one head, unless two classes share the first half of their digests
+        for batch in batches:
+            out = []
+            for g, p, f, side, cid, n, seg in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+                if (g, p, f) != group:
+                    group, heads, last = (g, p, f), [], None
+                if (side, cid) == last:  # repeated rows
+                    continue
+                last, own = (side, cid), np.frombuffer(seg, np.uint64)
+                if side == 0:
+                    heads.append((cid, n, own))
+                    continue
+                for a, na, theirs in heads:
+                    common = len(np.intersect1d(theirs, own, assume_unique=True))
+                    if common:
+                        out.append((a, cid, na, n, common))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "na", "nb", "common"])
+
+    where = ["g", "p", "f"]
+    segments = texts.mapInArrow(cut, "g long, p int, f int, side int, cid long, n int, seg binary").repartition(*where).sortWithinPartitions(*where, "side", "cid")
+    partial = segments.mapInArrow(overlap, "a long, b long, na int, nb int, common int")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return materialise(summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
+    links = materialise(summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
+    spent(reps)
+    release(docs.sparkSession)
+    return links
 
 
 def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -254,42 +382,27 @@ def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
-    rows, sketch = _profile(docs)
-    classes = materialise(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("id"), F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "key")).alias("r")).select("c", "id", "r.rep", "r.key"), "classes")
-    lists = _shared(_postings(docs, sketch, percent))
-    release(spark)
-    in_lists = lists.groupBy("c").agg(F.count("*").alias("k"))
-    lists = materialise(lists.join(in_lists, "c"), "lists")
-    enough = lambda k: F.col(k) >= needed(F.col("na"), F.col("nb"), percent)
-    heads = lists.groupBy("h").agg(F.max_by(F.struct("c", "n", "k"), F.struct("k", "c")).alias("head"))
-    star = lists.join(heads, "h").where("c <> head.c").select(F.least("c", "head.c").alias("a"), F.greatest("c", "head.c").alias("b"), F.when(F.col("c") < F.col("head.c"), F.col("n")).otherwise(F.col("head.n")).alias("na"), F.when(F.col("c") < F.col("head.c"), F.col("head.n")).otherwise(F.col("n")).alias("nb"), F.least("k", "head.k").alias("k"))
-    tried = materialise(star.where(_close("na", "nb", percent) & enough("k")).select("a", "b", "na", "nb").distinct(), "pairs")
-    links = _count(tried, classes, docs, percent)
+    rows, order = _profile(docs)
+    found = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.max(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "key")).alias("r"))
+    again = F.row_number().over(Window.partitionBy("c1").orderBy("c2")) > 1  # another set with the same first half
+    classes = materialise(found.select("c1", "c2", F.when(again, F.xxhash64("c1", "c2")).otherwise(F.col("c1")).alias("cid"), "id", "r.rep", "r.key"), "classes")
+    shared = spark.sparkContext.broadcast(order)  # fixed size
+    lists = _lists(_postings(docs, shared, percent))
     release(spark)
+    tried = _with_heads(lists, percent)
+    links = _count(tried, classes, docs, shared, percent)
     group = components(links)
-    placed = materialise(lists.join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "placed")
-    open_lists = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.pmod("c", F.lit(1 << 30))).alias("y"), F.count("*").alias("z")).where("lo <> hi")
-    open_lists = materialise(open_lists, "open")
-    once = open_lists.groupBy("x", "y", "z").agg(F.min("h").alias("h")).select("h")
-    # every open list of a class rides along, so that a pair is written in its first common list only, if it has enough
-    own = placed.join(open_lists.select("h"), "h").groupBy("c").agg(F.collect_list("h").alias("hs"))
-    rest = materialise(placed.join(once, "h").join(own, "c"), "rest")
-    side = lambda x: rest.select("h", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.size("hs").alias(f"k{x}"), F.col("hs").alias(f"hs{x}"), F.col("component").alias(f"g{x}"))
-    common = F.array_intersect("hsa", "hsb")
-    likely = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _close("na", "nb", percent) & enough("ka") & enough("kb")
-    met = side("a").join(side("b"), "h").where(likely & (F.col("h") == F.array_min(common)) & (F.size(common) >= needed(F.col("na"), F.col("nb"), percent)))
-    cross = met.select("a", "b", "na", "nb")
-    cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
-    release(spark)
-    more = _count(cross, classes, docs, percent)
+    cross = _across(lists, group, tried, percent)
+    more = _count(cross, classes, docs, shared, percent)
     if more.limit(1).count():
         group = components(links.union(more))
+    spent(lists, tried, links, cross, more)
     release(spark)
-    named = classes.select("c", "id").join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = classes.select("c1", "c2", "cid", "id").join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    ids = named.select("c", "component").join(smallest, "component").select("c", "component_id", F.col("component").alias("group"))
-    out = rows.join(ids, "c", "left")
-    return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
+    ids = named.select("c1", "c2", "component").join(smallest, "component").select("c1", "c2", "component_id", F.col("component").alias("group"))
+    out = rows.join(ids, ["c1", "c2"], "left")
+    return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
 
 
 def op6_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

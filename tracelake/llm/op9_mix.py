@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, row_hash, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET_SHARE = 1.5
@@ -63,34 +63,35 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], si
 
 
 def mix(docs: DataFrame, seed: int = 9, **how) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies (0, 1 or 2), uid, key (hash of the text).
+    """One row per document: doc_id, source, size, source_size, target, taken, copies (0, 1 or 2), row (hash of all its columns).
 
     Null texts and texts without words have size 0 and are taken 0 times. Null sources are one source, the last.
-    Repeated rows and ids are separate documents (uid tells them apart, the same in each run over the same files).
-    Rows come back whole; an empty table gives an empty result. docs needs doc_id, text and source; other columns
-    are not read. Reruns agree: the order is a hash of seed, id and row content.
+    Repeated rows and ids are separate documents. Rows come back whole; an empty table gives an empty result. docs
+    needs doc_id, text and source; other columns are only read to settle ties. Reruns agree, over other files and in
+    another order too: documents rank by a hash of seed, id and text, then by source and a hash of all columns. Rows
+    that agree in all of these are equal, and which of them is taken makes no difference.
     """
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))).alias("shuffle"), F.xxhash64("text").alias("key"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))).alias("shuffle"), row_hash(docs).alias("row"))
     rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "mix")
     goals = materialise(targets(rows, **how), "targets")
     bucket = F.conv(F.left("shuffle", F.lit(3)), 16, 10).cast("int")  # BUCKETS values
-    queued = running(rows.withColumn("bucket", bucket), ["source"], "bucket", [F.col("shuffle"), F.col("uid")], "size", "upto")
+    queued = running(rows.withColumn("bucket", bucket), ["source"], "bucket", [F.col("shuffle"), F.col("row"), F.col("uid")], "size", "upto")
     goal = goals.select(F.col("source").alias("_s"), "source_size", "target")
-    flows = queued.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "bucket", "shuffle")
+    flows = queued.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "bucket")
     epochs = how.get("epochs", MAX_EPOCHS)
     copies = (
         flows.where("size > 0")
         .withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(epochs)])))
         .withColumn("finish", F.try_divide(F.col("upto") + F.col("epoch") * F.col("source_size"), F.col("target")))
-        .select("uid", "size", "epoch", "finish")
+        .select("uid", "size", "epoch", "finish", "shuffle", "source", "row")
         .withColumn("slot", F.floor(F.col("finish") * BUCKETS))
     )
     budget = (goals.agg(F.sum("source_size")).first()[0] or 0) * min(how.get("share", BUDGET_SHARE), epochs)
-    ranked = running(copies, [], "slot", [F.col("finish"), F.col("uid"), F.col("epoch")], "size", "total")
+    ranked = running(copies, [], "slot", [F.col("finish"), F.col("shuffle"), F.col("source").asc_nulls_last(), F.col("row"), F.col("uid"), F.col("epoch")], "size", "total")
     taken = ranked.where(F.col("total") <= F.lit(budget)).groupBy("uid").agg(F.count("*").alias("copies"))
     out = flows.join(taken, "uid", "left")
     n = F.coalesce(F.col("copies"), F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "uid", "key")
+    return out.select("doc_id", "source", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "row")
 
 
 def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +108,8 @@ f AS (SELECT *, row_number() OVER o AS pos, (sum(source_size) OVER () * 1.5::DOU
 p AS (SELECT min(pos) AS opened FROM f WHERE level * w < cap),
 t AS (SELECT source, source_size, CASE WHEN opened IS NULL OR pos < opened THEN cap ELSE (SELECT level FROM f g WHERE g.pos = p.opened) * w END AS target FROM f, p),
 q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY shuffle, uid ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT uid, size, (upto + epoch * source_size) / target AS finish, epoch FROM q, (VALUES (0), (1)) e(epoch) WHERE size > 0),
-g AS (SELECT *, sum(size) OVER (ORDER BY finish, uid, epoch ROWS UNBOUNDED PRECEDING) AS total FROM c),
+c AS (SELECT uid, size, shuffle, source, (upto + epoch * source_size) / target AS finish, epoch FROM q, (VALUES (0), (1)) e(epoch) WHERE size > 0),
+g AS (SELECT *, sum(size) OVER (ORDER BY finish, shuffle, source NULLS LAST, uid, epoch ROWS UNBOUNDED PRECEDING) AS total FROM c),
 k AS (SELECT uid, count(*) AS copies FROM g WHERE total <= (SELECT sum(source_size) * 1.5::DOUBLE FROM s) GROUP BY uid)
 SELECT doc_id, size, source_size, target, CAST(coalesce(copies, 0) * size AS BIGINT) AS taken FROM q LEFT JOIN k USING (uid)
 """
