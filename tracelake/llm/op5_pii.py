@@ -7,7 +7,8 @@ begin where its parser starts, so parsing from the anchors in order equals a sca
 
 Added kinds: login (a URL that carries user and password), account (every IBAN with correct check digits anywhere after
 a cue, of its country's length or as long as it is written, or 6 to 17 digits or a social security number right after a cue), ip6 (with :: or in full;
-checked by the standard library).
+checked by the standard library), secret (a value with a digit that is assigned to a key, token or password, follows
+"bearer", or begins as the keys of well-known services do; a private key in PEM form).
 """
 
 from __future__ import annotations
@@ -25,8 +26,27 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("login", "account", "ip6")
+ADDED = ("login", "account", "ip6", "secret")
 CUES = ("account", "acct", "iban", "ssn", "passport", "social security")
+KEY_CUES = ("token", "secret", "apikey", "api_key", "api-key", "api key", "access_key", "access key", "private_key", "auth", "bearer", "credential")
+PASSWORD_CUES = ("password", "passwd", "passphrase", "pwd")
+# fixed values: how keys of well-known services begin, and what follows
+PREFIXES = {
+    "AKIA": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "ASIA": r"ASIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "AIza": r"AIza[0-9A-Za-z_-]{35}",
+    "ghp_": r"ghp_[0-9A-Za-z]{36,}",
+    "gho_": r"gho_[0-9A-Za-z]{36,}",
+    "ghs_": r"ghs_[0-9A-Za-z]{36,}",
+    "github_pat_": r"github_pat_[0-9A-Za-z_]{22,}",
+    "glpat-": r"glpat-[0-9A-Za-z_-]{20,}",
+    "sk-": r"sk-(?=[A-Za-z_-]*[0-9])[0-9A-Za-z_-]{20,}",
+    "sk_live_": r"sk_live_[0-9A-Za-z]{16,}",
+    "xoxb-": r"xoxb-[0-9A-Za-z-]{10,}",
+    "xoxp-": r"xoxp-[0-9A-Za-z-]{10,}",
+    "eyJ": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "-----BEGIN ": r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----[^-]*(?:-----END \1PRIVATE KEY-----)?",
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -34,7 +54,12 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(:[0-9]+)?")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_ASSIGNED = r"[\"']?[ \t]*(?::=|=>|=|:)[ \t]*[\"'`]?"
+_KEY = re.compile(_ASSIGNED + r"((?=[A-Za-z_./+~-]*[0-9])[0-9A-Za-z_./+~-]{15,}[0-9A-Za-z_]={0,2})")
+_BEARER = re.compile(r"[ \t]+((?=[A-Za-z_./+~-]*[0-9])[0-9A-Za-z_./+~-]{15,}[0-9A-Za-z_]={0,2})")
+_PASSWORD = re.compile(_ASSIGNED + r"((?=[A-Za-z]*[^A-Za-z\s\"'`<>,;])[^\s\"'`<>,;]{5,}[^\s\"'`<>,;.)\]])")
+_SERVICE = {k: re.compile(v) for k, v in PREFIXES.items()}
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _ACCOUNT = re.compile(r"(?:[ \t]*(?:no|nr|number|num|id)\b\.?)?[ \t]*[:#=]?[ \t]*([0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{6,17})(?![0-9A-Za-z-])", re.I)
 _LENGTHS = dict(x.split(":") for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30".split())
@@ -83,6 +108,12 @@ def _automaton():
     for cue in CUES:
         for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
             a.add_word(form, ("c", len(form)))
+    for cues, kind in ((KEY_CUES, "k"), (PASSWORD_CUES, "p")):
+        for cue in cues:
+            for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
+                a.add_word(form, (kind, len(form)))
+    for word in PREFIXES:
+        a.add_word(word, ("x", len(word)))
     a.make_automaton()
     return a
 
@@ -96,7 +127,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if _AUTOMATON is None:
         _AUTOMATON = _automaton()
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
-    mail = ip = card = phone = acct = six = 0  # where the next match of a kind may begin
+    mail = ip = card = phone = acct = six = run = secret = 0  # where the next match of a kind may begin
     numbers = None  # the IBANs after the first cue
     last_digit = -2
     for end, (kind, size) in _AUTOMATON.iter(text):
@@ -127,15 +158,21 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 if 9 <= sum(c in _DIGITS for c in m[0]) <= 15:
                     found["phone"].append(m.span())
         elif kind == "s":
-            m, left = _LOGIN.match(text, end + 1), _SCHEME.search(text, max(0, at - 20), at)
-            if m and left:
-                found["login"].append((left.start(), m.end()))
-        elif kind == ":":
+            if m := _LOGIN.match(text, end + 1):
+                s = at
+                while s and text[s - 1] in _SCHEME:
+                    s -= 1
+                while s < at and not text[s].isalpha():  # a scheme begins with a letter
+                    s += 1
+                if s < at:
+                    found["login"].append((s, m.end()))
+        elif kind == ":" and at >= run:  # the run of hexadecimal digits and colons is looked at once
             a, b = at, end + 1
-            while a and text[a - 1] in _HEX and at - a < 40:
+            while a and text[a - 1] in _HEX:
                 a -= 1
-            while b < len(text) and text[b] in _HEX and b - at < 40:
+            while b < len(text) and text[b] in _HEX:
                 b += 1
+            run = b
             if b - a > 4 and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()) and (not found["ip6"] or found["ip6"][-1][1] <= a):
                 try:
                     ipaddress.IPv6Address(text[a:b])
@@ -153,6 +190,18 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                     six = m.end()
                 except ValueError:
                     pass
+        elif kind in "kpx" and at >= secret:
+            if kind == "x":
+                m = None if at and (text[at - 1].isalnum() or text[at - 1] in "_-") else _SERVICE[text[at : end + 1]].match(text, at)
+                own = m.span() if m else None
+            else:
+                m = (_PASSWORD if kind == "p" else _KEY).match(text, end + 1)
+                if not m and kind == "k" and text[at : end + 1].lower() == "bearer":
+                    m = _BEARER.match(text, end + 1)
+                own = m.span(1) if m else None
+            if own:
+                found["secret"].append(own)
+                secret = own[1]
         elif kind == "c" and end >= acct and not (at and text[at - 1].isalnum()):
             if numbers is None:
                 numbers = list(ibans(text, end + 1))
@@ -171,11 +220,11 @@ def joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-FIELDS = [("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("masked", pa.string())]
+FIELDS = [("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_secret", pa.int64()), ("n_spans", pa.int64()), ("masked", pa.string())]
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = False) -> DataFrame:
-    """Per row: key, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if asked for, masked (the text with each
+    """Per row: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans (of all kinds) and, if asked for, masked (the text with each
     span replaced by its kind in angle brackets; of overlapping spans the first, longest). Null text counts as empty;
     repeated rows and ids are kept; other columns are not read. No shuffle.
     """
@@ -190,7 +239,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool =
                 got = spans(t)
                 base = [x for x in got if x[0] in BASE]
                 kinds = [x[0] for x in base]
-                row = [*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(got)]
+                row = [*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(got), sum(x[0] == "secret" for x in got), len(got)]
                 if mask:
                     out, at = [], 0
                     for k, a, b in sorted(got, key=lambda x: (x[1], -x[2])):
