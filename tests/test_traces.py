@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from test_scanner import F1
 from tracelake.functions import lex
-from tracelake.functions.ordered import framed, running_sum, upper_median, with_ordinal
+from tracelake.functions.ordered import framed, running_sum, sliding, upper_median, with_ordinal
 from tracelake.operators import judge, parse, planning, profile, prompts, validate
 from tracelake.streaming import rolling
 
@@ -107,13 +107,21 @@ def test_ordered_helpers_equal_plain_python(spark):
     for k in sorted(keys):
         total += vals[k]
         up[k] = total
-    assert {r.k: r.s for r in running_sum(df, "k", F.col("v"), "s", width=64).collect()} == up
+    assert {r.k: r.s for r in running_sum(df, "k", F.col("v"), "s", rows=64).collect()} == up
     place = {k: i for i, k in enumerate(sorted(keys))}
-    numbered = with_ordinal(df, "k", width=100)
+    numbered = with_ordinal(df, "k", rows=100)
     assert {r.k: r.ordinal for r in numbered.collect()} == place
     got = framed(numbered, "ordinal", 7, {"m": lambda w: F.max("v").over(w)}, block=16).collect()
     own = [vals[k] for k in sorted(keys)]
     assert len(got) == 400 and all(r.m == max(own[max(0, r.ordinal - 6) : r.ordinal + 1]) for r in got)
+    slid = sliding(numbered.withColumnRenamed("k", "lo"), "ordinal", "v", 7, "a", "b", "c").collect()
+    assert len(slid) == 400
+    for r in slid:
+        frame = own[max(0, r.ordinal - 6) : r.ordinal + 1]
+        assert (r.a, r.b, round(r.c, 9)) == (min(frame), max(frame), round(sum(frame) / len(frame), 9)) and vals[r.lo] == r.v
+    sparse = spark.createDataFrame([(i * 10**15 - 5 * 10**17, 1, "x") for i in range(1000)], "k long, bucket long, value string")
+    assert sorted((r.k, r.s, r.bucket, r.value) for r in running_sum(sparse, "k", F.col("bucket"), "s", rows=50).collect()) == [(i * 10**15 - 5 * 10**17, i + 1, 1, "x") for i in range(1000)]
+    assert running_sum(df.where("false"), "k", F.col("v"), "s").count() == 0
     assert upper_median(df, "v").first().median == sorted(vals.values())[200]
 
 
@@ -121,7 +129,7 @@ def test_sparkline(spark):
     log = spark.createDataFrame([(i, float(i % 9) - 4) for i in range(20)], "seq long, score double")
     lo, hi = -4.5, 4.5
     want = "─" * 40 + "".join(rolling.BARS[max(0, min(8, int((i % 9 - 4 - lo) / (hi - lo) * 8)))] for i in range(20))
-    assert rolling.sparkline(rolling.reward_stats(log)).first().line == want
+    assert rolling.sparkline(log).first().line == want
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.ordered import running_sum
+from tracelake.functions.ordered import running_sum, unused
 
 MARK, OPEN = "<|im_start|>assistant", "<|im_start|>"
 
@@ -32,7 +32,8 @@ def capped(derived: DataFrame, order: str, most: int | None) -> DataFrame:
     if not most:
         return derived
     taken = F.col("out").isNotNull().cast("long")
-    return running_sum(derived, order, taken, "_taken").where(F.col("_taken") - taken < most).drop("_taken")
+    (upto,) = unused(derived, "upto")
+    return running_sum(derived, order, taken, upto).where(F.col(upto) - taken < most).drop(upto)
 
 
 def counters(seen: DataFrame) -> DataFrame:

@@ -518,7 +518,7 @@ def sparkline_bucket(spark, sf_dir):
 @query(f"""{_STATS}, z AS (SELECT seq, score, (SELECT lo FROM t ORDER BY seq DESC LIMIT 1) AS lo, (SELECT hi FROM t ORDER BY seq DESC LIMIT 1) AS hi FROM t ORDER BY seq DESC LIMIT 60)
 SELECT string_agg([' ', '▁', '▂', '▃', '▄', '▅', '▆', '▇', '█'][greatest(0, least(8, CAST(trunc((score - lo) / (hi - lo) * 8) AS INT))) + 1], '' ORDER BY seq) AS line FROM z""")
 def sparkline(spark, sf_dir):
-    return rolling.sparkline(rolling.reward_stats(_log(spark, sf_dir)))
+    return rolling.sparkline(_log(spark, sf_dir))
 
 
 @query(f"{_LOG} SELECT seq, score, seq = (SELECT max(seq) FROM g) AS latest FROM g ORDER BY seq DESC LIMIT 10")

@@ -53,7 +53,8 @@ def line_count(spark: SparkSession, path: str) -> int:
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "trace")
+    """Each file as one row: file (its name) and trace (its text)."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("trace"))
 
 
 def scenarios(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -93,21 +94,44 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite", limit: int |
 def write_numbered(df: DataFrame, folder: str, text: str = "trace", order: str = "trace_id", start: int | None = None) -> None:
     """One file trace_NNNN.task per row, numbered in order from start (default: after the last one there).
 
-    folder must be one that all executors share as a plain directory.
+    folder is a path or URI that executors can write to: a shared directory, or a store that Arrow knows.
     """
     from tracelake.functions.ordered import with_ordinal
 
     base = next_number(df.sparkSession, folder) if start is None else start
-    os.makedirs(folder, exist_ok=True)
+    uri = folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
+    uri = re.sub(r"^file:/+", "file:///", uri)
 
     def put(rows):
+        from pyarrow.fs import FileSystem
+
+        fs, at = FileSystem.from_uri(uri)
+        fs.create_dir(at, recursive=True)
         for r in rows:
-            with open(os.path.join(folder, f"trace_{base + r.ordinal:04d}.task"), "w", encoding="utf-8") as f:
-                f.write(r.text or "")
+            with fs.open_output_stream(f"{at.rstrip('/')}/trace_{base + r.ordinal:04d}.task") as f:
+                f.write((r.text or "").encode())
 
     with_ordinal(df, order).select("ordinal", F.col(text).alias("text")).foreachPartition(put)
 
 
 def write_array(df: DataFrame, path: str) -> None:
-    """All rows as one JSON array (for small tables: it is one line of text)."""
-    df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """All rows as one file with one JSON array, an element a line. Executors write the rows as text; the driver only
+    joins the files' bytes, in their order, so no task holds the table."""
+    spark, parts = df.sparkSession, f"{path.rstrip('/')}.parts"
+    df.select(F.concat(F.lit(","), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})).alias("value")).write.mode("overwrite").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at = hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    out, first = fs.create(at, True), True
+    out.writeBytes("[")
+    for f in sorted(fs.globStatus(hadoop.fs.Path(parts, "part-*")), key=lambda f: f.getPath().getName()):
+        if f.getLen():
+            own = fs.open(f.getPath())
+            if first:
+                own.skip(1)  # the comma before the first element
+            first = False
+            hadoop.io.IOUtils.copyBytes(own, out, conf, False)
+            own.close()
+    out.writeBytes("]\n")
+    out.close()
+    fs.delete(hadoop.fs.Path(parts), True)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.ordered import framed, with_ordinal
+from tracelake.functions.ordered import framed, sliding, unused, with_ordinal
 
 RECENT, HISTORY, WIDTH = 50, 5000, 60
 BARS = " ▁▂▃▄▅▆▇█"
@@ -17,15 +18,19 @@ LOW, HIGH = -3.0, 4.0
 
 def valid_rate(log: DataFrame, seq: str = "seq", score: str = "score", size: int = RECENT) -> DataFrame:
     """Per row: share of the last size rows with a score above 0 (rows without a score count as not above)."""
+    (above,) = unused(log, "above")
     up = F.when(F.col(score) > 0, 1.0).otherwise(0.0)
-    return framed(with_ordinal(log, seq).withColumn("_up", up), "ordinal", size, {"valid_rate": lambda w: F.avg("_up").over(w)}).drop("_up")
+    return framed(with_ordinal(log, seq).withColumn(above, up), "ordinal", size, {"valid_rate": lambda w: F.avg(above).over(w)}).drop(above)
 
 
 def reward_stats(log: DataFrame, seq: str = "seq", score: str = "score", size: int = HISTORY) -> DataFrame:
     """Per row: min, max, mean of the last size scores, the count of all rows so far, and the scale lo, hi."""
-    over = {"min_score": lambda w: F.min(score).over(w), "max_score": lambda w: F.max(score).over(w), "mean_score": lambda w: F.avg(score).over(w)}
-    out = framed(with_ordinal(log, seq), "ordinal", size, over).withColumn("n_total", F.col("ordinal") + 1)
-    return out.withColumn("lo", F.least(F.col("min_score") - 0.5, F.lit(LOW))).withColumn("hi", F.greatest(F.col("max_score") + 0.5, F.lit(HIGH)))
+    out = sliding(with_ordinal(log, seq), "ordinal", score, size, "min_score", "max_score", "mean_score")
+    return out.withColumn("n_total", F.col("ordinal") + 1).withColumns(_scale())
+
+
+def _scale() -> dict[str, Column]:
+    return {"lo": F.least(F.col("min_score") - 0.5, F.lit(LOW)), "hi": F.greatest(F.col("max_score") + 0.5, F.lit(HIGH))}
 
 
 def bar_level(value: Column, lo: Column, hi: Column) -> Column:
@@ -35,14 +40,15 @@ def bar_level(value: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(8), F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("int")))
 
 
-def sparkline(stats: DataFrame, score: str = "score", width: int = WIDTH) -> DataFrame:
-    """One row, line: the last width scores as bars on the scale of the last row, padded on the left."""
-    last = stats.orderBy(F.desc("ordinal")).limit(width)
-    scale = F.max_by(F.struct("lo", "hi"), "ordinal").alias("scale")
-    got = last.agg(scale, F.array_sort(F.collect_list(F.struct("ordinal", F.col(score).alias("v")))).alias("x"))
+def sparkline(log: DataFrame, seq: str = "seq", score: str = "score", size: int = HISTORY, width: int = WIDTH) -> DataFrame:
+    """One row, line: the last width scores as bars, padded on the left, on the scale of the last size scores. Only these last rows are looked at."""
+    last = log.orderBy(F.desc(seq)).limit(max(size, width)).select(F.col(seq).alias("seq"), F.col(score).alias("v"))
+    own = last.agg(F.array_sort(F.collect_list(F.struct("seq", "v")))["v"].alias("x"))
+    end = lambda n: F.slice("x", F.greatest(F.lit(1), F.size("x") - n + 1), F.lit(n))
+    scaled = own.select(end(width).alias("x"), F.array_min(end(size)).alias("min_score"), F.array_max(end(size)).alias("max_score")).withColumns(_scale())
     bars = F.array(*[F.lit(b) for b in BARS])
-    line = F.array_join(F.transform("x", lambda e: F.element_at(bars, bar_level(e["v"], F.col("scale.lo"), F.col("scale.hi")) + 1)), "")
-    return got.select(F.lpad(line, width, "─").alias("line"))
+    line = F.array_join(F.transform("x", lambda v: F.element_at(bars, F.coalesce(bar_level(v, F.col("lo"), F.col("hi")), F.lit(0)) + 1)), "")
+    return scaled.select(F.lpad(line, width, "─").alias("line"))
 
 
 def latest(log: DataFrame, seq: str = "seq") -> DataFrame:
@@ -59,18 +65,19 @@ STREAM = "log string, seq long, score double, valid_rate double, min_score doubl
 
 def stream_stats(log: DataFrame, size: int = RECENT) -> DataFrame:
     """Streaming (log, seq, score): each row with the statistics over the last size rows of its log, by arrival and, in a
-    batch, by seq. The state holds size scores per log."""
+    batch, by seq. The state holds size scores per log. A null score counts as a row, not above 0."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, total = state.get if state.exists else ([], 0)
-        kept, rows = list(kept), pd.concat(list(frames)).sort_values("seq", kind="stable")
+        kept, rows = deque(kept, maxlen=size), pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = []
         for seq, score in zip(rows["seq"].tolist(), rows["score"].tolist(), strict=True):
-            kept = [*kept, float(score)][-size:]
+            kept.append(float("nan") if score is None else float(score))
             total += 1
-            out.append((key[0], seq, score, sum(x > 0 for x in kept) / len(kept), min(kept), max(kept), total))
-        state.update((kept, total))
+            known = [x for x in kept if x == x]
+            out.append((key[0], seq, None if score is None or score != score else score, sum(x > 0 for x in known) / len(kept), min(known, default=None), max(known, default=None), total))
+        state.update((list(kept), total))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAM.split(", ")])
 
     return log.groupBy("log").applyInPandasWithState(run, STREAM, STATE, "append", GroupStateTimeout.NoTimeout)
