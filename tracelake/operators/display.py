@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: block kinds and syntax classes
 KINDS = ("system", "tool", "user", "plan", "act", "result", "response")
 
 _SYNTAX = re.compile(

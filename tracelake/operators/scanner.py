@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 KEYWORDS = ("system", "tool", "user", "plan", "act", "result", "response")
 TEXTUAL = frozenset({"system", "user", "response"})
 
+_CORNER = re.compile("[「」]")
 _SPACE = re.compile(r"[ \t\n\r]*")
 _WORD = re.compile(r'[^ \t\n\r{}\[\]•↦🏷※⊨𝑝「」"]*')
 _NUMBER = re.compile(r"\d*(?:\.\d*(?:[eE][+-]?\d*)?|[eE][+-]?\d*(?:\.\d*)?)?")
@@ -86,11 +87,11 @@ class _Scan:
     def corner(self) -> str:
         """「…」, nested; unclosed is accepted."""
         start, depth = self.at + 1, 1
-        for m in re.finditer("[「」]", self.text[start:]):
+        for m in _CORNER.finditer(self.text, start):
             depth += 1 if m[0] == "「" else -1
             if not depth:
-                self.at = start + m.end()
-                return self.text[start : start + m.start()]
+                self.at = m.end()
+                return self.text[start : m.start()]
         self.at = self.end
         return self.text[start:]
 

@@ -396,8 +396,8 @@ def _draw(purpose: str, key: str = "idx", seed: int = 0) -> str:
     return f"(CAST('0x' || left(md5('{seed}:{purpose}:' || {key}), 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
-def _plan_sql(count: int) -> str:
-    bare = int(count * planning.NO_TOOLS_RATE)
+def _plan_sql(count: int | str) -> str:
+    bare = int(count * planning.NO_TOOLS_RATE) if isinstance(count, int) else f"CAST(floor({count} * {planning.NO_TOOLS_RATE}::DOUBLE) AS BIGINT)"
     return f"""r AS (SELECT unnest(range({count})) AS idx),
 plan AS (SELECT idx, 'trace-' || idx AS custom_id, idx >= {bare} AS has_tools, {_draw('follow_up')} < 0.3::DOUBLE AS has_follow_ups, idx >= {bare} AND {_draw('error')} < 0.2::DOUBLE AS include_error,
  CAST(floor({_draw('steps')} * 46) AS INT) + 5 AS num_steps, ['coding', 'data_analysis', 'research', 'writing', 'planning', 'math', 'troubleshooting', 'creative', 'education', 'business'][CAST(floor({_draw('domain')} * 10) AS INT) + 1] AS domain FROM r)"""
@@ -418,14 +418,14 @@ def shuffled_plan(spark, sf_dir):
     return planning.shuffled(planning.plan(spark, 1000), "idx", 50).select("idx")
 
 
-_MATCH = f"""{NEXT} {_FACTS}, {_plan_sql(60)}, q AS (SELECT * FROM plan),
+_MATCH = f"""{NEXT} {_FACTS}, {_plan_sql('(SELECT count(*) * 9 // 10 FROM traces)')}, q AS (SELECT * FROM plan),
 m AS (SELECT t.trace_id AS idx, CASE WHEN t.trace_id % 17 = 0 THEN 'failed' WHEN t.trace_id IN (SELECT trace_id FROM e) THEN 'invalid' ELSE 'valid' END AS status, q.has_tools, q.domain, q.idx IS NOT NULL AS has_plan FROM traces t LEFT JOIN q ON q.idx = t.trace_id)"""
 
 
 def _matched(spark, sf_dir):
     k = F.col("trace_id")
     got = traces(spark, sf_dir).select(F.concat(F.lit("trace-"), k.cast("string")).alias("custom_id"), F.when(k % 17 == 0, "timeout").alias("error"), F.concat(F.lit("\n"), "trace", F.lit("\n ")).alias("content"))
-    return planning.match(got, planning.plan(spark, 60))
+    return planning.match(got, planning.plan(spark, got.count() * 9 // 10))
 
 
 @query(f"{_MATCH} SELECT * FROM m")
