@@ -8,17 +8,17 @@ SCHEMA = "conv_id long, turn long, role string, text string, pos int, a string"
 def brute(rows):
     key = lambda x: (x is not None, x or "")
     convs = {}
-    for c, t, r, x in rows:
-        convs.setdefault(c, []).append((t is None, t or 0, key(r), key(x), r, x))
+    for i, (c, t, r, x) in enumerate(rows):
+        convs.setdefault(c if c is not None else -1 - i, []).append((t is None, t or 0, key(r), key(x), r, x))
     lists = {c: [(v[4], v[5]) for v in sorted(vs, key=lambda v: v[:4])] for c, vs in convs.items()}
     out = []
     for c, l in lists.items():
         if any(len(m) > len(l) and m[: len(l)] == l for m in lists.values()):
             continue
         same = [d for d, m in lists.items() if m == l]
-        ids = [d for d in same if d is not None]
-        if c == (min(ids) if ids else None):
-            out.append((str(c), len(l), "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in l)))
+        ids = [d for d in same if d >= 0]
+        if c == (min(ids) if ids else max(same)):
+            out.append((str(c) if c >= 0 else "None", len(l), "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in l)))
     return sorted(out)
 
 
@@ -33,7 +33,7 @@ def test_equals_brute_force(spark):
     for c in range(120):
         for t in range(r.randint(1, 5)):
             rows.append((c, t * 2, "user" if t % 2 == 0 else "assistant", r.choice(["hi", "yo"])))
-    rows += [(200, 0, None, "hi"), (201, 0, "", "hi"), (202, 0, "user", None), (203, 0, "user", ""), (203, 1, None, None), (None, 0, "user", "hi"), (None, None, "user", "zz"), (204, 1, "b", "x"), (204, 1, "a", "x"), (204, 1, "a", "x"), (205, 0, "user", "long " * 5000)]
+    rows += [(200, 0, None, "hi"), (201, 0, "", "hi"), (202, 0, "user", None), (203, 0, "user", ""), (203, 1, None, None), (None, 0, "user", "hi"), (None, None, "user", "zz"), (None, 3, "user", "zz"), (None, 3, None, None), (204, 1, "b", "x"), (204, 1, "a", "x"), (204, 1, "a", "x"), (205, 0, "user", "long " * 5000)]
     assert run(spark, rows) == brute(rows)
 
 

@@ -40,8 +40,10 @@ def words(text: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is known to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if it is known to be small: few rows and, where it holds whole items, few words."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    return _if_small(df, df.agg(F.sum(F.size("item"))).first()[0] or 0) if "item" in df.columns else F.broadcast(df)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
