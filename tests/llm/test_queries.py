@@ -1,0 +1,72 @@
+"""The registered queries on the smallest tables, against plain Python."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tracelake.llm import op10_quality
+from tracelake.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet").collect()
+
+
+def test_op1(spark):
+    data = [(r.vec_id, r.label, np.array(r.embedding, np.float64)) for r in rows(spark, "embeddings")]
+    unit = [v / np.linalg.norm(v) if np.isfinite(v).all() and np.linalg.norm(v) else None for _, _, v in data]
+    n = len(data)
+    near = [[j for j in range(n) if j != i and data[i][1] is not None and data[i][1] == data[j][1] and unit[i] is not None and unit[j] is not None and unit[i] @ unit[j] >= 0.93] for i in range(n)]
+    seen = {}
+    for i in sorted(range(n), key=lambda i: data[i][0]):
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen[k] = data[i][0]
+                todo += near[k]
+    got = {r.vec_id: r for r in queries()["op1_pivot_permutation"](spark, SF).collect()}
+    assert len(got) == n
+    links = sum(map(len, near))
+    assert sum(got[data[i][0]].n_links for i in range(n)) >= 0.98 * links
+    for i in range(n):
+        r = got[data[i][0]]
+        assert r.n_links <= len(near[i]) and r.kept == (r.vec_id == r.component_id)
+    assert np.mean([got[data[i][0]].component_id == seen[i] for i in range(n)]) >= 0.98
+
+
+def test_op2(spark):
+    t, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    got = {r.doc_id: r for r in queries()["op2_wavelet_tokens"](spark, SF).collect()}
+    texts = sorted((r.doc_id, r.text or "") for r in rows(spark, "documents"))
+    assert len(got) == len(texts)
+    for i, text in texts:
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_op7(spark):
+    pages = {r.page_id: r for r in rows(spark, "pages")}
+    got = queries()["op7_dom_trees"](spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.url == pages[r.page_id].url and r.n_chars == len(r.text)
+        assert "<p" not in r.text and all(line == " ".join(line.split()) for line in r.text.split("\n"))
+    assert sum(r.n_chars > 0 for r in got) >= 0.9 * len(got)
+
+
+def test_op10_separates_the_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = queries()["op10_byte_cnn"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % op10_quality.FOLDS == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+    good, bad = ([r.score for r in got if r.held_out and label.get(r.doc_id) == y] for y in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(good) > 5 and len(bad) > 5 and auc > 0.94

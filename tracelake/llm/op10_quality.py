@@ -22,7 +22,7 @@ from .common import small_batches, table, trim
 
 TAPS, FILTERS, HIDDEN = 4, 24, 32
 HOP, CHUNK = 32, 64
-TRAIN_ROWS, TRAIN_LONGEST, EPOCHS, BATCH = 4000, 200_000, 8, 50
+TRAIN_ROWS, TRAIN_LONGEST, EPOCHS, STEPS, BATCH = 4000, 200_000, 8, 320, 50
 FOLDS, THRESHOLD = 5, 0.3
 BLOCK = 1 << 14  # bytes convolved at a time, so that activations stay in cache
 
@@ -111,7 +111,9 @@ class ByteNet:
             g["taps"][k][b[cut]] = np.add.reduceat(da[order], cut, axis=0)
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.015, seed: int = 10) -> ByteNet:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch: int = BATCH, rate: float = 0.015, seed: int = 10) -> ByteNet:
+        """EPOCHS passes over the sample, or as many as make STEPS steps of a batch each."""
+        epochs = epochs or max(EPOCHS, -(-STEPS * batch // len(texts)))
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
