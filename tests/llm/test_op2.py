@@ -47,3 +47,11 @@ def test_documents_come_back(spark):
 
 def test_empty_table(spark):
     assert W.tokenize(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_caches_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(W, "CACHE_WORDS", 3)
+    t, e = Tokenizer.from_file(PATH), W.WordEncoder(PATH)
+    for x in TEXTS * 3:
+        assert np.frombuffer(e.encode(x), e.kind).tolist() == t.encode(x, add_special_tokens=False).ids
+        assert len(e.old) <= 3 + len(x.split()) + 20

@@ -30,7 +30,7 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits for each entry of a rank directory
 CHUNK = 1 << 14  # bytes of a plane that are compressed together
-CACHE_WORDS = 1 << 17  # bound of a task's word cache
+CACHE_WORDS = 1 << 18  # bound of either half of a worker's word cache, some 32 MB
 MAGIC = b"WVM2"
 SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -213,8 +213,8 @@ class WordEncoder:
 
     Where the tokenizer's steps are those in SPLITS it drops white space and no token crosses it, so a text's ids are its
     chunks' ids in order; a chunk of letters goes to the model directly, any other through the whole tokenizer. Any
-    other tokenizer gets whole texts. Ids are little-endian 16-bit, or 32-bit where the vocabulary needs them. The cache
-    is emptied when it holds CACHE_WORDS words, and at the end of a task.
+    other tokenizer gets whole texts. Ids are little-endian 16-bit, or 32-bit where the vocabulary needs them. A full
+    cache becomes the old half and words are moved over from it as they come up, so common ones stay.
     """
 
     def __init__(self, path: str):
@@ -224,6 +224,7 @@ class WordEncoder:
         others = iter(range(256, 512))
         self.bytes = {i: chr(i) if i in keep else chr(next(others)) for i in range(256)}
         self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         steps = json.loads(self.t.to_str())
         words = [x["content"] for x in steps["added_tokens"]]
         self.direct = all(steps[k] == v for k, v in SPLITS.items()) and not any(re.search(r"\s", w) for w in words)
@@ -261,12 +262,14 @@ class WordEncoder:
         try:
             return b"".join(map(words.__getitem__, chunks))
         except KeyError:
+            old = self.old
             for c in chunks:
                 if c not in words:
-                    words[c] = self._chunk(c)
+                    got = old.get(c)
+                    words[c] = self._chunk(c) if got is None else got
             out = b"".join(map(words.__getitem__, chunks))
             if len(words) > CACHE_WORDS:
-                self.words = {"": b""}
+                self.old, self.words = words, {"": b""}
             return out
 
 
@@ -313,7 +316,6 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
                     yield flush()
         if ids:
             yield flush()
-        enc.words = {"": b""}
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
