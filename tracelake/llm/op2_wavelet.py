@@ -41,7 +41,7 @@ class Plane:
     """A packed bit-plane whose chunks are unpacked when they are first read."""
 
     def __init__(self, chunks: list[bytes]):
-        self.packed, self.open = chunks, {}
+        self.packed, self.open, self.z = chunks, {}, zstandard.ZstdDecompressor()
 
     def __getitem__(self, at: slice | int) -> np.ndarray | int:
         if not isinstance(at, slice):
@@ -51,11 +51,11 @@ class Plane:
 
     def _chunk(self, k: int) -> np.ndarray:
         if k not in self.open:
-            self.open[k] = np.frombuffer(zstandard.decompress(self.packed[k]), np.uint8)
+            self.open[k] = np.frombuffer(self.z.decompress(self.packed[k]), np.uint8)
         return self.open[k]
 
     def whole(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(zstandard.decompress(c), np.uint8) for c in self.packed]])
+        return np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(self.z.decompress(c), np.uint8) for c in self.packed]])
 
 
 class WaveletShard:
