@@ -2,7 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tracelake.llm import op2_wavelet as W
@@ -11,11 +14,33 @@ PATH = public_tokenizers.path(W.TOKENIZER)
 TEXTS = ["", "Of the inanin. Thonst", "É ê ß Éçeau, don't I'll 'S x..", "á İstanbul ΣΑΣ straße ﬁ", "12 34a b5.,", "x\ty z q\n\nw", "<|endoftext|> a<|startoftext|>b", "word,word. (a) *** &&& \U0001f600\U0001f600", " lead and trail ", "'s 't d's"]
 
 
+def encoded(e, texts):
+    ids, n = e.encode(pa.array(texts, pa.string()))
+    assert ids.dtype == e.kind and len(n) == len(texts) and n.sum() == len(ids)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
+
+
 def test_chunked_encoding_equals_the_tokenizer():
     t, e = Tokenizer.from_file(PATH), W.WordEncoder(PATH)
     assert e.direct
     for x in [*TEXTS, " ".join(TEXTS), "\n".join(TEXTS) * 3]:
-        assert np.frombuffer(e.encode(x), e.kind).tolist() == t.encode(x, add_special_tokens=False).ids, x
+        assert encoded(e, [x]) == [t.encode(x, add_special_tokens=False).ids], x
+
+
+def test_batches_of_texts_equal_the_tokenizer():
+    t, e = Tokenizer.from_file(PATH), W.WordEncoder(PATH)
+    own = "".join(chr(i) for i in range(0x250))
+    texts = [None, *TEXTS, None, "", *[a + b for a in TEXTS for b in own[::7]], *own, *[f"Ab{c}" for c in own], *[f"{c}Ö{c}" for c in own], " ".join(own)]
+    assert encoded(e, texts) == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert encoded(e, []) == [] and encoded(e, ["", None]) == [[], []]
+    e.direct = False
+    assert encoded(e, TEXTS + [None]) == [t.encode(x, add_special_tokens=False).ids for x in TEXTS] + [[]]
+
+
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=40), max_size=5))
+def test_any_texts_equal_the_tokenizer(texts):
+    e = W.encoder(PATH)
+    assert encoded(e, texts) == [e.t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 @pytest.mark.parametrize("size,most", [(0, 5), (1, 1), (7, 3), (3000, 2), (5000, 49408), (2000, 200000)])
@@ -47,11 +72,3 @@ def test_documents_come_back(spark):
 
 def test_empty_table(spark):
     assert W.tokenize(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_small_caches_give_the_same_ids(monkeypatch):
-    monkeypatch.setattr(W, "CACHE_WORDS", 3)
-    t, e = Tokenizer.from_file(PATH), W.WordEncoder(PATH)
-    for x in TEXTS * 3:
-        assert np.frombuffer(e.encode(x), e.kind).tolist() == t.encode(x, add_special_tokens=False).ids
-        assert len(e.old) <= 3 + len(x.split()) + 20

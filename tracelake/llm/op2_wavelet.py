@@ -12,14 +12,14 @@ from __future__ import annotations
 import json
 import re
 import struct
-import sys
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +30,6 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits for each entry of a rank directory
 CHUNK = 1 << 14  # bytes of a plane that are compressed together
-CACHE_WORDS = 1 << 18  # bound of either half of a worker's word cache, some 32 MB
 MAGIC = b"WVM2"
 SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -198,8 +197,9 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Letters of Latin-1 and marks, no apostrophe: a tokenizer with the steps SPLITS splits such a chunk into the lower-case letters and the marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: Letters of Latin-1, and marks without the apostrophe: a tokenizer with the steps SPLITS splits letters and then marks into just these two.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and (c.isascii() or c >= "À"))
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 # fixed values: the steps before the model for which that holds, and for which no token crosses white space
 SPLITS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -209,12 +209,12 @@ SPLITS = {
 
 
 class WordEncoder:
-    """Encodes text by chunks between spaces and line feeds, each chunk once.
+    """Encodes a batch of texts, each different chunk between spaces and line feeds once.
 
     Where the tokenizer's steps are those in SPLITS it drops white space and no token crosses it, so a text's ids are its
-    chunks' ids in order; a chunk of letters goes to the model directly, any other through the whole tokenizer. Any
-    other tokenizer gets whole texts. Ids are little-endian 16-bit, or 32-bit where the vocabulary needs them. A full
-    cache becomes the old half and words are moved over from it as they come up, so common ones stay.
+    chunks' ids in order; the different words of letters go to the model directly, any other chunk through the whole
+    tokenizer. Any other tokenizer gets whole texts. Ids are 16-bit, or 32-bit where the vocabulary needs them. Nothing
+    is kept from one batch to the next.
     """
 
     def __init__(self, path: str):
@@ -223,54 +223,46 @@ class WordEncoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves
         others = iter(range(256, 512))
         self.bytes = {i: chr(i) if i in keep else chr(next(others)) for i in range(256)}
-        self.words: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
         steps = json.loads(self.t.to_str())
         words = [x["content"] for x in steps["added_tokens"]]
         self.direct = all(steps[k] == v for k, v in SPLITS.items()) and not any(re.search(r"\s", w) for w in words)
 
-    def _whole(self, chunk: str) -> bytes:
-        return np.array(self.t.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _model(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.bytes)
-        ids = array("H" if self.kind.itemsize == 2 else "I", [x.id for x in self.t.model.tokenize(word)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        m = _PLAIN.match(chunk)
-        if not m:
-            return self._whole(chunk)
-        word, mark = m[1].lower(), m[2]
-        got = self.words.get(word)
-        if got is None:
-            got = self.words[word] = self._model(word)
-        if mark:
-            if mark not in self.words:
-                self.words[mark] = self._whole(mark)
-            got += self.words[mark]
-        return got
-
-    def encode(self, text: str) -> bytes:
+    def _lists(self, ids: Iterable[list[int]]) -> pa.ListArray:
+        return pa.array(ids, pa.list_(pa.from_numpy_dtype(self.kind)))
+
+    def _whole(self, texts: pa.Array) -> pa.ListArray:
+        return self._lists([e.ids for e in self.t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+
+    def _model(self, words: pa.Array) -> pa.ListArray:
+        raw = (w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in words.to_pylist())
+        return self._lists([[x.id for x in self.t.model.tokenize(w)] for w in raw])
+
+    def _chunks(self, chunks: pa.Array) -> pa.ListArray:
+        """The ids of each of these different chunks: of letters and then of marks, or of the chunk as a whole."""
+        plain = pc.match_substring_regex(chunks, f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$")
+        known, rest = chunks.filter(plain), chunks.filter(pc.invert(plain))
+        word = pc.dictionary_encode(pc.utf8_lower(pc.utf8_rtrim(known, characters=_MARKS)))
+        mark = pc.dictionary_encode(pc.utf8_ltrim(known, characters=_LETTERS))
+        pieces = [self._model(word.dictionary), self._whole(mark.dictionary), self._whole(rest), self._lists([[]])]
+        at = np.cumsum([0, *map(len, pieces)])
+        pairs, plain = np.full((len(chunks), 2), at[3]), plain.to_numpy(zero_copy_only=False)
+        pairs[plain, 0], pairs[plain, 1] = word.indices.to_numpy(), at[1] + mark.indices.to_numpy()
+        pairs[~plain, 0] = at[2] + np.arange(len(rest))
+        got = pa.concat_arrays(pieces).take(pa.array(pairs.ravel()))
+        return pa.ListArray.from_arrays(pa.array(got.offsets.to_numpy()[::2]), got.values)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts (null: empty) in order, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "")
         if not self.direct:
-            return self._whole(text)
-        chunks = text.replace("\n", " ").split(" ")
-        words = self.words
-        try:
-            return b"".join(map(words.__getitem__, chunks))
-        except KeyError:
-            old = self.old
-            for c in chunks:
-                if c not in words:
-                    got = old.get(c)
-                    words[c] = self._chunk(c) if got is None else got
-            out = b"".join(map(words.__getitem__, chunks))
-            if len(words) > CACHE_WORDS:
-                self.old, self.words = words, {"": b""}
-            return out
+            got = self._whole(texts)
+            return got.values.to_numpy(), np.diff(got.offsets.to_numpy().astype(np.int64))
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        each = pc.dictionary_encode(chunks.values)
+        got = self._chunks(each.dictionary).take(each.indices)
+        return got.values.to_numpy(), np.diff(got.offsets.to_numpy()[chunks.offsets.to_numpy()].astype(np.int64))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -292,29 +284,36 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype=enc.kind).tobytes()
-        ids, lengths, blobs, held = [], [], [], 0
+        enc, part, seq, held = encoder(path), TaskContext.get().partitionId(), 0, 0
+        names, lengths, ids = [], [], []
 
         def flush():
-            nonlocal seq, ids, lengths, blobs, held
-            n = np.array(lengths, dtype=np.int64)
-            blob = WaveletShard.build(np.frombuffer(b"".join(blobs), dtype=enc.kind), ids, n).to_bytes()
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "payload"])
-            ids, lengths, blobs, held, seq = [], [], [], 0, seq + 1
+            nonlocal seq, held
+            n = np.concatenate(lengths)
+            blob = WaveletShard.build(np.concatenate(ids), list(chain.from_iterable(names)), n).to_bytes()
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "payload"])
+            names.clear(), lengths.clear(), ids.clear()
+            seq, held = seq + 1, 0
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = enc.encode(text.as_py() or "") + end
-                n = len(got) // enc.kind.itemsize
-                ids.append(doc_id)
-                lengths.append(n)
-                blobs.append(got)
-                held += n
+            got, n = enc.encode(batch.column(1))
+            ends = np.cumsum(n := n + 1)  # each document's end id follows it
+            flat = np.full(len(got) + len(n), end_id, dtype=enc.kind)
+            inner = np.ones(len(flat), dtype=bool)
+            inner[ends - 1] = False
+            flat[inner] = got
+            doc_ids, a, base = batch.column(0).to_pylist(), 0, 0
+            while a < len(n):  # a shard ends with the document that fills it
+                b = min(int(np.searchsorted(ends, base + shard_tokens - held)) + 1, len(n))
+                names.append(doc_ids[a:b])
+                lengths.append(n[a:b])
+                ids.append(flat[base : ends[b - 1]])
+                held += int(ends[b - 1]) - base
+                a, base = b, int(ends[b - 1])
                 if held >= shard_tokens:
                     yield flush()
-        if ids:
+        if names:
             yield flush()
         trim()
 
