@@ -68,3 +68,30 @@ def test_long_lists_in_parts(spark, monkeypatch):
     assert run(spark, rows) == whole
     want, n = brute(rows)
     assert sum(x[1] for x in whole) >= 0.95 * 2 * n
+
+
+def test_one_list_a_label_is_exact(spark, monkeypatch):
+    rows = rows_with_groups(4, 120, 12, 20)
+    monkeypatch.setattr(P, "PART", 16)
+    assert run(spark, rows, pivots=1, nearest=1, shared=1) == brute(rows)[0]
+
+
+def test_pivots_grow_with_the_rows(spark):
+    assert [P.pivots_for(n, 4, 2) for n in (0, 1, 20_000)] == [64] * 3
+    for n in (100_000, 1_000_000, 10_000_000):
+        p = P.pivots_for(n, 4, 2)
+        assert 100 < 6 * n / (p * (p - 1) / 2) <= 128
+    assert P.pivots_for(1 << 40, 4, 2) == P.MOST_PIVOTS
+    rows = rows_with_groups(5, 300, 30, 12)
+    want, n = brute(rows)
+    got = run(spark, rows, pivots=300)
+    assert sum(x[1] for x in got) >= 0.9 * 2 * n
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_nearest_pivots_in_blocks():
+    r = np.random.default_rng(3)
+    for p in (1, 5, 256, 257, 1500):
+        x, q = r.standard_normal((3000, 8)), r.standard_normal((p, 8))
+        k = min(4, p)
+        assert (P.closest(x, q, k) == np.argsort(-(x @ q.T), axis=1, kind="stable")[:, :k]).all()

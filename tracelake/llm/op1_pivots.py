@@ -6,13 +6,15 @@ standing together in the list of at least one SHARED-subset, so these subsets ar
 Candidates are verified by their cosine in double precision. A pair counts in one list only, that of the first SHARED
 pivots the two have in common, so partial link counts add up without ever writing a pair.
 
-Pivots: PIVOTS vectors spread over a bounded sample of SAMPLE vectors, the first by a hash. Every vector is indexed. Equal
-vectors form one entry with a multiplicity. A list longer than PART entries is cut into parts by a hash; each pair of
+Pivots: vectors spread over a bounded sample, the first by a hash, SAMPLE vectors or twice the pivots. Their number grows as
+the square root of the different vectors of the largest label, from PIVOTS to MOST_PIVOTS, so that a list of evenly spread
+vectors keeps about MEAN entries (see ``pivots_for``). Every vector is indexed. Equal vectors form one entry with a multiplicity. A list longer than PART entries is cut into parts by a hash; each pair of
 parts is one unit of work, so no list, however hot, meets in one task and none is capped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import components, materialise, mix64, release, small_batches, table
 
 SAMPLE, PIVOTS, NEAREST, SHARED = 1000, 64, 4, 2
+MOST_PIVOTS, MEAN = 2048, 128
 COSINE, PART = 0.93, 512
 
 
@@ -37,6 +40,23 @@ def spread(vectors: np.ndarray, count: int) -> np.ndarray:
     return vectors[chosen]
 
 
+def pivots_for(rows: int, nearest: int, shared: int) -> int:
+    """How many pivots p give rows entries of one label, each in C(nearest, shared) of the C(p, shared) lists, a mean list of about MEAN."""
+    lists = rows * math.comb(nearest, shared) / MEAN
+    return min(MOST_PIVOTS, max(PIVOTS, nearest, math.ceil((lists * math.factorial(shared)) ** (1 / shared)) + shared))
+
+
+def closest(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
+    """The nearest pivots of each row, in blocks of rows so that memory doesn't grow with the pivots; the first of equal ones."""
+    out, step, few = np.zeros((len(x), nearest), np.int64), max(1, (1 << 20) // len(pivots)), min(4 * nearest, len(pivots))
+    for a in range(0, len(x), step):
+        far = -(x[a : a + step] @ pivots.T)
+        at = np.sort(np.argpartition(far, few - 1, axis=1)[:, :few], axis=1) if len(pivots) > 4 * PIVOTS else np.tile(np.arange(len(pivots)), (len(far), 1))
+        first = np.argsort(np.take_along_axis(far, at, axis=1), axis=1, kind="stable")[:, :nearest]
+        out[a : a + step] = np.take_along_axis(at, first, axis=1)
+    return out
+
+
 def usable(v: str) -> F.Column:
     """Neither null nor empty, no null or non-finite component, not all zero."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -55,7 +75,7 @@ def _entries(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _describe(entries: DataFrame, pivots: np.ndarray, nearest: int, shared: int) -> DataFrame:
     """Inverted-list entries: cell (hash of label, dimension and SHARED pivots), the entry, its ordered pivots."""
-    known = entries.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
+    known = entries.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = known.value
@@ -72,7 +92,7 @@ def _describe(entries: DataFrame, pivots: np.ndarray, nearest: int, shared: int)
                 x = flat[off[own][:, None] + np.arange(d)[None, :]].astype(np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 q = p[:, :d] if p.shape[1] >= d else np.pad(p, ((0, 0), (0, d - p.shape[1])))
-                near[own] = np.argsort(-(x @ q.T), axis=1, kind="stable")[:, :nearest]
+                near[own] = closest(x, q, nearest)
             near.sort(axis=1)
             label = batch.column("lab").to_numpy(zero_copy_only=False).view(np.uint64) + dims.astype(np.uint64)
             u, cells, owner, first = batch.column("u"), [], [], []
@@ -162,17 +182,22 @@ def _verify(listed: DataFrame, cosine: float, nearest: int, shared: int) -> Data
     return materialise(sorted_.mapInArrow(run, "u long, n long, root long"), "verified")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Rows link when their labels are equal and not null, their vectors have the same length and a cosine of at least
     ``cosine``. Null, empty or zero vectors and vectors with null or non-finite components link with nothing: n_links 0,
     component_id vec_id. Equal vectors link with each other. A null vec_id counts as no id. Repeated rows are separate
     rows. vectors needs vec_id, embedding and label; other columns are not read. An empty table gives no rows.
+
+    Links found are exact, but some may be missed. With pivots=1, nearest=1 and shared=1 each label is one list, cut into
+    parts, and nothing is missed; the work then grows as the square of a label's different vectors.
     """
     small_batches(vectors.sparkSession)
     rows, entries = _entries(vectors)
-    sample = entries.select("v").orderBy(F.xxhash64("e"), "id").limit(SAMPLE).collect()
+    if pivots is None:
+        pivots = pivots_for(entries.groupBy("label").count().agg(F.max("count")).first()[0] or 0, nearest, shared)
+    sample = entries.select("v").orderBy(F.xxhash64("e"), "id").limit(max(SAMPLE, 2 * pivots)).collect()
     known = np.zeros((max(len(sample), nearest), max((len(r.v) for r in sample), default=1)))
     for i, r in enumerate(sample):
         v = np.array(r.v, np.float64) / np.abs(r.v).max()
