@@ -1,11 +1,19 @@
-"""The scanner as one Arrow UDF per row, and the reward rubric as native arithmetic over its facts."""
+"""Parse facts of traces as one Arrow UDF over batches, and the reward rubric as native arithmetic over the facts.
+
+Well-formed texts are answered for a whole batch at once by the structural index; the scanner reads the others one by one.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators import index
 from tracelake.operators.scanner import scan
 
 FACTS = (
@@ -26,14 +34,36 @@ def facts_of(text: str | None, strict: bool) -> dict:
     }
 
 
+def _pieces(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Consecutive texts of about limit bytes together (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def facts_of_batch(texts: pa.Array, strict: bool, limit: int = 8 << 20) -> pa.Array:
+    """Facts of all texts (a struct array), in order; a null text is empty. limit: bytes of text indexed at once."""
+    out = []
+    for some in _pieces(texts, limit):
+        whole, ok = index.facts(some, strict)
+        if not ok.all():
+            rest = pa.array([facts_of(t, strict) for t in some.filter(pa.array(~ok)).to_pylist()], whole.type)
+            place = np.where(ok, np.cumsum(ok) - 1, ok.sum() + np.cumsum(~ok) - 1)
+            whole = pa.concat_arrays([whole.filter(pa.array(ok)), rest]).take(pa.array(place))
+        out.append(whole)
+    return pa.concat_arrays(out) if out else index.facts(texts, strict)[0]
+
+
 def parse(text: Column | str, strict: bool = True) -> Column:
     """Facts of a trace as a struct (FACTS). Marked non-deterministic so that it is evaluated once; write filters on
     plain columns before it."""
 
-    @F.pandas_udf(FACTS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [facts_of(t, strict) for t in texts]
-        return pd.DataFrame(rows, columns=[c.strip().split()[0] for c in FACTS.split(",")])
+    @F.arrow_udf(FACTS)
+    def run(texts: pa.Array) -> pa.Array:
+        return facts_of_batch(texts, strict)
 
     return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
