@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import lex
 from tracelake.operators import display, judge, parse, planning, profile, prompts, render, rewrite, validate
+from tracelake.plans import line_sql
+from tracelake.plans.traces import ACT_RUNS, act_runs, traces
 from tracelake.plans.traces import sql as traces_sql
-from tracelake.plans.traces import traces
 from tracelake.streaming import rolling
 
 WITH = f"WITH traces AS ({traces_sql()})"
@@ -260,7 +261,7 @@ def assistant_segments(spark, sf_dir):
     return _derived(spark, sf_dir).select("trace_id", lex.assistant_segment(F.coalesce("trace", "prompt")).alias("segment"))
 
 
-# Parsing, rewards and rewriting have no SQL form.
+# Parsing and rewards of these traces have no SQL form; rewriting has one by lines.
 
 
 @query()
@@ -281,24 +282,55 @@ def reward_summary(spark, sf_dir):
     return parse.summary(parse.with_rewards(traces(spark, sf_dir), strict=False))
 
 
-@query()
-def merge_acts(spark, sf_dir):
-    return rewrite.process_traces(traces(spark, sf_dir), tags=False, style="none").select("trace_id", "trace", "lossy", "acts_before", "acts_after")
-
-
-@query()
-def template_a(spark, sf_dir):
-    return rewrite.process_traces(traces(spark, sf_dir), style="a").select("trace_id", "trace", "tags_removed")
-
-
-@query()
-def template_b(spark, sf_dir):
-    return rewrite.process_traces(traces(spark, sf_dir), style="b").select("trace_id", "trace", "tags_removed")
-
-
-@query()
-def process_summary(spark, sf_dir):
-    return rewrite.summary(rewrite.process_traces(traces(spark, sf_dir)))
+def _rewritten(source: str, *steps: tuple[str, Callable[[str, str], str]]) -> str:
+    """CTEs that take source through the steps; each is named and reads the one before."""
+    out, last = [source], "traces"
+    for name, step in steps:
+        out.append(step(last, name))
+        last = name
+    return "WITH RECURSIVE " + ", ".join(out)
+
+
+_SOURCES = {"": (traces, f"traces AS ({traces_sql()})"), "act_runs_": (act_runs, f"traces AS (SELECT p_partkey AS trace_id, {ACT_RUNS} AS trace FROM part)")}
+_MERGED, _UNTAGGED = ("merged", line_sql.merged), ("untagged", line_sql.untagged)
+_ACTS = "CAST((length({0}) - length(replace({0}, 'act {{', ''))) // 5 AS INT)".format
+
+
+def _rewriters(prefix: str, source: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    """The rewriting queries over one table of traces."""
+
+    def keep(name: str, text: str, run: Callable[[DataFrame], DataFrame]) -> None:
+        def f(spark, sf_dir):
+            return run(source(spark, sf_dir))
+
+        f.__name__ = prefix + name
+        query(text)(f)
+
+    keep(
+        "merge_acts",
+        f"{_rewritten(sql, _MERGED)} SELECT m.trace_id, m.trace, lossy, {_ACTS('t.trace')} AS acts_before, {_ACTS('m.trace')} AS acts_after FROM merged m JOIN traces t ON m.trace_id = t.trace_id",
+        lambda df: rewrite.process_traces(df, tags=False, style="none").select("trace_id", "trace", "lossy", "acts_before", "acts_after"),
+    )
+    cut = "CAST(length(regexp_replace(m.trace, '[^🏷]', '', 'g')) - length(regexp_replace(u.trace, '[^🏷]', '', 'g')) AS INT)"
+    joined = "merged m JOIN untagged u ON m.trace_id = u.trace_id"
+    for style, template in (("a", line_sql.template_a), ("b", line_sql.template_b)):
+        keep(
+            f"template_{style}",
+            f"{_rewritten(sql, _MERGED, _UNTAGGED, ('done', template))} SELECT d.trace_id, d.trace, {cut} AS tags_removed FROM {joined} JOIN done d ON m.trace_id = d.trace_id",
+            lambda df, style=style: rewrite.process_traces(df, style=style).select("trace_id", "trace", "tags_removed"),
+        )
+    keep(
+        "process_summary",
+        f"""{_rewritten(sql, _MERGED, _UNTAGGED, ('done', line_sql.template_a))}, {_TODOS},
+x AS (SELECT {_ACTS('u.trace')} - {_ACTS('merged.trace')} AS fewer, {cut.replace('u.trace', 'untagged.trace').replace('m.trace', 'merged.trace')} AS cut, len(own) AS own, len(open) AS open, length(u.trace) AS before, length(done.trace) AS after FROM u JOIN merged USING (trace_id) JOIN untagged USING (trace_id) JOIN done USING (trace_id))
+SELECT count(*) AS n, CAST(sum(fewer) AS BIGINT) AS acts_merged, CAST(sum(cut) AS BIGINT) AS tags_removed, CAST(sum(own) AS BIGINT) AS total_todos, CAST(sum(open) AS BIGINT) AS unresolved_todos, count(*) FILTER (open > 0) AS n_with_unresolved,
+ CAST(sum(before) AS BIGINT) AS chars_before, CAST(sum(after) AS BIGINT) AS chars_after, round((sum(after) - sum(before)) * 100.0::DOUBLE / sum(before), 6) AS change_pct FROM x""",
+        lambda df: rewrite.summary(rewrite.process_traces(df)),
+    )
+
+
+for _prefix, _source in _SOURCES.items():
+    _rewriters(_prefix, *_source)
 
 
 @query(rf"""{NEXT} n AS (SELECT trace_id, trace, list_distinct(regexp_extract_all(trace, '🏷\s*["'']?([a-zA-Z_][a-zA-Z0-9_-]*)["'']?', 1)) AS own,

@@ -54,6 +54,27 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_spark_sql(), rows=rows)
 
 
+def _run(i: int) -> str:
+    """Piece i of a trace of act_runs: a thought with or without operators, a call, both, two of one, a line, nothing."""
+    nl = "chr(10)"
+    act = lambda *lines: f" || {nl} || ".join(["'act {'", *(f"'    {x}'" for x in lines), "'}'"])
+    call = f"call ↦ {{ tool ↦ find • args ↦ {{ n ↦ {i} }} • id ↦ \"c{i}\" }}"
+    kinds = [
+        act(f'think ↦ "look {i}"'), act(f"think ↦ 「weigh {i}」 🏷 t{i} ⊨ 1"), act(f'think ↦ "go on" ※ t{i - 1}'), act(f"{call} ⊨ 2"), act(f'think ↦ "both {i}" •', call), act(f'think ↦ "one" •', f"think ↦ 「two」 𝑝 0.{i}"),
+        act(f"{call} •", "call ↦ { tool ↦ other }"), act("think ↦ bare"), f"'note {i}'", "''", "''", f"'result {{' || {nl} || '    data ↦ \"r{i}\" 🏷 c{i}' || {nl} || '}}'",
+    ]
+    pick = f"(p_partkey % {2 * i + 7} + p_size % {i + 3} * {i + 1}) % {len(kinds)}"
+    return f"CASE {pick} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(kinds[:-1])) + f" ELSE {kinds[-1]} END"
+
+
+#: Per part a trace of eight acts and lines in ever other order, for a second user turn on every fourth.
+ACT_RUNS = "'system「s' || chr(10) || 't」🏷 sys1' || chr(10) || " + " || chr(10) || ".join(["'user「' || p_name || '」🏷 usr1' || chr(10) || 'plan {' || chr(10) || '    todo ↦ { 1 ↦ \"a\" • 2 ↦ \"b\" }' || chr(10) || '}'", *map(_run, range(4)), "CASE WHEN p_size % 4 = 0 THEN 'response「so」' || chr(10) || 'user「more' || chr(10) || p_brand || '」' ELSE ' ' END", *map(_run, range(4, 8)), "'response「' || p_type || '」 ※ usr1'"])
+
+
+def act_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet").selectExpr("p_partkey AS trace_id", f"{ACT_RUNS} AS trace")
+
+
 def _spark_sql() -> str:
     # a parameterised query formats its text once more, so braces of the trace language are written as chr()
     text = sql("@rows@", engine="spark").replace("{", "'||chr(123)||'").replace("}", "'||chr(125)||'")
