@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import lex
 from tracelake.operators import display, judge, parse, planning, profile, rewrite
-from tracelake.plans.catalogue import NEXT, WITH, _table, query, render_trace
+from tracelake.plans.catalogue import _RENDER, NEXT, WITH, _table, query, render_trace
 from tracelake.plans.traces import traces
 from tracelake.session import shared_dir
 from tracelake.sources import files
@@ -192,3 +192,70 @@ def rendered_merge(spark, sf_dir):
     """A trace with one act between its other blocks has nothing to merge."""
     got = rewrite.process_traces(render_trace(spark, sf_dir), tags=False, style="none")
     return got.select("trace_id", "acts_before", "acts_after", "lossy")
+
+
+# The same traces with faults: p_partkey % 12 decides, and every expected value follows from the fault.
+
+_CUT = "substr(trace, 1, strpos(trace, 'response「') - 1)"
+_FAULTY = {
+    1: _CUT,
+    2: "replace(trace, ' it is.」 ※ \"th1\" ⊨ 2', ' it is.')",
+    3: "replace(trace, 'plan {', 'plan [')",
+    4: "replace(trace, '※ \"th1\" ⊨ 2', '※ [\"th1\" • \"ghost\" • gone] ⊨ 2')",
+    5: "replace(trace, '        1 ↦', '        3 ↦')",
+    6: "trace || ' act { think ↦ 「x」 } act { think ↦ 「y」 } act { think ↦ 「z」 }'",
+    7: "trace || ' ??? stray'",
+    8: "replace(trace, 'tool ↦ find_part', 'tool ↦ lose_part')",
+    9: "replace(trace, '} 🏷 \"c1\"', '} 🏷 \"c9\"')",
+    10: "replace(trace, '} 🏷 \"c1\"', '}')",
+    11: "replace(trace, 'name ↦ find_part', 'title ↦ find_part')",
+}
+_FAULT = "CASE trace_id % 12 " + " ".join(f"WHEN {k} THEN {x}" for k, x in _FAULTY.items()) + " ELSE trace END"
+_BROKEN = f"""WITH whole AS ({_RENDER}), broken AS (SELECT trace_id, trace_id % 12 AS f, size % 3 = 0 AS t, {_FAULT} AS trace FROM (SELECT whole.*, p_size AS size FROM whole JOIN part ON trace_id = p_partkey))"""
+
+
+def _faulty(spark, sf_dir):
+    return render_trace(spark, sf_dir).selectExpr("trace_id", f"{_FAULT.replace('strpos(trace, ', 'instr(trace, ')} AS trace")
+
+
+@query(f"""{_BROKEN}, m AS (SELECT *, CASE WHEN t THEN 'tool|' ELSE '' END AS tool, CASE WHEN t THEN 'result|' ELSE '' END AS result FROM broken)
+SELECT trace_id, CASE f WHEN 3 THEN rtrim('system|' || tool || 'user', '|') WHEN 1 THEN rtrim('system|' || tool || 'user|plan|act|' || result, '|') ELSE 'system|' || tool || 'user|plan|act|' || result || 'response' || CASE f WHEN 6 THEN '|act|act|act' ELSE '' END END AS blocks,
+ CASE f WHEN 3 THEN '' WHEN 5 THEN '2|3' ELSE '1|2' END AS todos, CASE WHEN f = 3 THEN '' WHEN f IN (1, 2) THEN '1' ELSE '1|2' END AS done,
+ CASE WHEN NOT t OR f = 11 THEN '' ELSE 'find_part' END AS tools, CASE WHEN NOT t OR f = 3 THEN '' WHEN f = 8 THEN 'lose_part' ELSE 'find_part' END AS called,
+ CASE WHEN t AND f <> 3 THEN 'c1' ELSE '' END AS calls, CASE WHEN NOT t OR f IN (3, 10) THEN '' WHEN f = 9 THEN 'c9' ELSE 'c1' END AS results,
+ CASE f WHEN 3 THEN 'Expected ''{{'' at position ' || (strpos(trace, 'plan [') + 4) ELSE '' END AS errors,
+ CASE WHEN f = 7 THEN 'Skipped unparseable content from ' || (strpos(trace, '???') - 1) || ' to ' || length(trace) WHEN f = 10 AND t THEN 'Result data value should have a 🏷 tag' ELSE '' END AS warnings,
+ f <> 3 AS valid, length(trace) AS length FROM m""")
+def faulty_facts(spark, sf_dir):
+    text = lambda c: F.array_join(F.col(f"f.{c}").cast("array<string>"), "|").alias(c)
+    todo = lambda c: F.array_join(F.col(f"f.{c}").cast("array<int>").cast("array<string>"), "|")
+    got = _faulty(spark, sf_dir).select("trace_id", parse.parse("trace", strict=False).alias("f"))
+    return got.select("trace_id", text("blocks"), todo("defined_todos").alias("todos"), todo("satisfied_todos").alias("done"), text("defined_tools").alias("tools"), text("called_tools").alias("called"), text("call_ids").alias("calls"), text("result_ids").alias("results"), text("errors"), text("warnings"), "f.valid", "f.length")
+
+
+_d = "::DOUBLE"
+_PARTS_OF = {
+    "parse_valid": f"CASE f WHEN 3 THEN -3.0{_d} ELSE 1.0{_d} END",
+    "has_plan": f"CASE f WHEN 3 THEN -0.5{_d} ELSE 0.3{_d} END",
+    "has_response": f"CASE WHEN f IN (1, 3) THEN -1.5{_d} ELSE 0.5{_d} END",
+    "structure_order": f"CASE WHEN f IN (1, 3) THEN 0.0{_d} ELSE 0.2{_d} END",
+    "todos_start_at_1": f"CASE f WHEN 3 THEN 0.0{_d} WHEN 5 THEN -0.5{_d} ELSE 0.3{_d} END",
+    "todos_satisfied": f"CASE WHEN f = 3 THEN 0.0{_d} WHEN f IN (1, 2) THEN -0.05{_d} WHEN f = 5 THEN 0.2{_d} ELSE 0.5{_d} END",
+    "refs_valid": f"CASE f WHEN 4 THEN -0.2{_d} ELSE 0.3{_d} END",
+    "tools_valid": f"CASE WHEN NOT t OR f = 3 THEN 0.0{_d} WHEN f = 8 THEN -0.5{_d} WHEN f = 11 THEN -1.5{_d} ELSE 0.5{_d} END",
+    "call_result_match": f"CASE WHEN NOT t OR f = 3 THEN 0.0{_d} WHEN f = 9 THEN -0.4{_d} WHEN f = 10 THEN -0.1{_d} ELSE 0.4{_d} END",
+    "warnings": f"CASE WHEN f = 7 OR (f = 10 AND t) THEN -0.05{_d} ELSE 0.0{_d} END",
+    "clean_ending": f"CASE WHEN f IN (1, 3) THEN NULL WHEN f = 6 THEN -0.5{_d} ELSE 0.3{_d} END",
+}
+_SCORED = f"{_BROKEN}, c AS (SELECT trace_id, {', '.join(f'{x} AS {c}' for c, x in _PARTS_OF.items())} FROM broken), s AS (SELECT *, {' + '.join(f'coalesce({c}, 0)' for c in _PARTS_OF)} AS total FROM c)"
+
+
+@query(f"{_SCORED} SELECT trace_id, {', '.join(_PARTS_OF)}, round(total, 6) AS total, CASE WHEN total > 1.5 THEN 'pass' WHEN total > 0 THEN 'mid' ELSE 'fail' END AS class FROM s")
+def faulty_rewards(spark, sf_dir):
+    got = parse.with_rewards(_faulty(spark, sf_dir), strict=False)
+    return got.select("trace_id", *[F.round(f"reward.{c}", 6).alias(c) for c in _PARTS_OF], F.round("reward.total", 6).alias("total"), "class")
+
+
+@query(f"{_SCORED} SELECT count(*) AS n, round(avg(total), 6) AS mean, round(min(total), 6) AS min, round(max(total), 6) AS max, count(*) FILTER (parse_valid < 0) AS n_parse_errors, count(*) FILTER (total > 1.5) AS n_pass FROM s")
+def faulty_reward_summary(spark, sf_dir):
+    return parse.summary(parse.with_rewards(_faulty(spark, sf_dir), strict=False))
