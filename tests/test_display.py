@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tracelake.operators import display, judge, profile
+from tracelake.operators import display, profile
 from tracelake.sources import files
 
 
@@ -34,14 +34,6 @@ def test_token_cache_follows_content(spark, tmp_path):
     assert len(list(calls.iterdir())) > n
 
 
-def test_verdict_cache_on_disk(spark, tmp_path):
-    df = spark.createDataFrame([("p", "a"), ("p", "b")], "prompt string, completion string")
-    empty = spark.createDataFrame([], "cache_key string, judge_score double")
-    judge.remember(judge.judged(df, empty, lambda ts: ["{}"] * len(ts)), str(tmp_path / "v"))
-    again = judge.judged(df, spark.read.parquet(str(tmp_path / "v")), lambda ts: 1 / 0)
-    assert [(r.cached, round(r.judge_score, 9)) for r in again.collect()] == [(True, 0.5)] * 2
-
-
 def test_latest_checkpoint(spark, tmp_path):
     for n in ("checkpoint-9", "checkpoint-10", "checkpoint-x", "other"):
         (tmp_path / n).mkdir()

@@ -150,7 +150,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_judge_asks_only_for_what_is_not_cached(spark):
     df = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "b")], "prompt string, completion string")
     cache = df.limit(1).select(judge.cache_key(F.col("prompt"), F.col("completion")).alias("cache_key"), F.lit(0.25).alias("judge_score"))
-    got = judge.judged(df, cache, lambda ts: ['{"coherence": 10, "quality": 0}'] * len(ts)).collect()
+    got = judge.judged(df, cache, lambda t: '{"coherence": 10, "quality": 0}').collect()
     assert sorted((r.completion, r.cached, round(r.judge_score, 6)) for r in got) == [("a", True, 0.25), ("b", False, 0.5), ("b", False, 0.5)]
     assert tuple(judge.stats(spark.createDataFrame([], "cached boolean")).first()) == (0, 0, 0.0)
 

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracelake.functions import lex
-from tracelake.operators import display, judge, parse, planning, profile, rewrite
-from tracelake.plans.catalogue import _RENDER, NEXT, WITH, _table, query, render_trace
+from tracelake.operators import calls, display, judge, parse, planning, profile, rewrite, validate
+from tracelake.plans.catalogue import _FACTS, _RENDER, NEXT, WITH, _table, query, render_trace
 from tracelake.plans.traces import traces
 from tracelake.session import shared_dir
 from tracelake.sources import files
@@ -103,12 +103,17 @@ def judge_cached(spark, sf_dir):
     rows, at = traces(spark, sf_dir).select("trace_id", F.col("trace").alias("prompt"), F.col("trace").alias("completion")), _folder(spark, "verdicts")
     names = list(judge.WEIGHTS)
 
-    def ask(texts: list[str]) -> list[str]:
-        return ["So: {" + ", ".join(f'"{n}": {len(t) % 11}' for n in names) + "}" if i % 2 else "{" + ", ".join(f'"{n}": {len(t) % 11}' for n in names) + "}" for i, t in enumerate(texts)]
+    def ask(text: str) -> str:
+        own = "{" + ", ".join(f'"{n}": {len(text) % 11}' for n in names) + "}"
+        return f"So: {own}" if len(text) % 2 else own
 
-    none = spark.createDataFrame([], "cache_key string, judge_score double")
-    judge.remember(judge.judged(rows.where("trace_id % 3 = 0"), none, ask), at)
-    return judge.judged(rows, spark.read.parquet(at), ask).select("trace_id", "cached", F.round("judge_score", 6).alias("judge_score"))
+    def round_of(some):
+        keys = some.select(judge.cache_key(F.col("prompt"), F.col("completion")).alias("cache_key"))
+        return judge.judged(some, judge.verdicts(spark, at, keys), ask)
+
+    judge.remember(round_of(rows.where("trace_id % 3 = 0")), at)
+    judge.compact(spark, at)
+    return round_of(rows).select("trace_id", "cached", F.round("judge_score", 6).alias("judge_score"))
 
 
 @query(f"{NEXT} j AS (SELECT trace_id, {_PLAIN_REQUEST} AS r, trace FROM traces) SELECT trace_id, md5('Request:' || chr(10) || r || chr(10) || chr(10) || 'Response:' || chr(10) || left(trace, 4000)) AS text_md5 FROM j")
@@ -259,3 +264,39 @@ def faulty_rewards(spark, sf_dir):
 @query(f"{_SCORED} SELECT count(*) AS n, round(avg(total), 6) AS mean, round(min(total), 6) AS min, round(max(total), 6) AS max, count(*) FILTER (parse_valid < 0) AS n_parse_errors, count(*) FILTER (total > 1.5) AS n_pass FROM s")
 def faulty_reward_summary(spark, sf_dir):
     return parse.summary(parse.with_rewards(_faulty(spark, sf_dir), strict=False))
+
+
+# Calls of a model. The stub answers from the text it is asked, so SQL knows every reply.
+
+
+def _answer(text: str) -> str:
+    """The request's trace, whole or (two times of three) with a brace too many; requests of a seventh length fail for good."""
+    n, trace = text.split("\n", 1)
+    if len(trace) % 7 == 0:
+        raise ConnectionError("no answer")
+    return trace if (len(trace) + int(n)) % 3 == 0 else trace + "{"
+
+
+def _request(attempt: int):
+    return F.concat(F.lit(f"{attempt}\n"), "trace")
+
+
+def _at_once(seconds: float) -> None:
+    """No pause: the stub's failures do not pass with time."""
+
+
+@query(f"""{NEXT} {_FACTS}, a AS (SELECT trace_id, t, length(t) % 7 = 0 AS dead, trace_id IN (SELECT trace_id FROM e) AS bad, 3 - length(t) % 3 AS round FROM v)
+SELECT trace_id, CASE WHEN dead OR bad THEN 3 ELSE round END AS attempt, CASE WHEN dead THEN 'ConnectionError: no answer' WHEN bad THEN 'invalid' END AS error, CASE WHEN NOT dead AND NOT bad THEN md5(t) END AS reply_md5 FROM a""")
+def retry_rounds(spark, sf_dir):
+    """Every trace is asked for up to three times; two of three replies have a brace too many."""
+    got = calls.until_valid(traces(spark, sf_dir), "trace_id", _request, _answer, lambda c: validate.validation(c)["valid"], rounds=3, retries=1, sleep=_at_once)
+    return got.select("trace_id", "attempt", "error", F.md5("reply").alias("reply_md5"))
+
+
+@query(f"""{NEXT} {_FACTS}, g AS (SELECT trace_id, md5(t) AS reply_md5, row_number() OVER (ORDER BY trace_id) AS k, (SELECT count(*) FROM v) // 4 AS n FROM v WHERE length(t) % 7 <> 0 AND trace_id NOT IN (SELECT trace_id FROM e))
+SELECT trace_id, reply_md5 FROM g WHERE k <= n""")
+def enough_replies(spark, sf_dir):
+    """The first valid replies by trace_id, a quarter as many as there are traces, each asked for once and unbroken."""
+    rows = traces(spark, sf_dir).withColumn("text", F.concat(((3 - F.length("trace") % 3) % 3).cast("string"), F.lit("\n"), "trace"))
+    got, _ = calls.first_valid_of(rows, "trace_id", "text", _answer, lambda c: validate.validation(c)["valid"], rows.count() // 4, retries=0, sleep=_at_once)
+    return got.select("trace_id", F.md5("reply").alias("reply_md5"))

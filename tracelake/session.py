@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df computed once, as a Parquet table in the shared folder; its files go when the application ends."""
+    spark = df.sparkSession
+    top = f"{shared_dir(spark).rstrip('/')}/tracelake/{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(top)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def get_session(master: str | None = None, app: str = "tracelake", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
