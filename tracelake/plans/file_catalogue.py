@@ -12,7 +12,7 @@ from tracelake.operators import calls, display, judge, parse, planning, profile,
 from tracelake.plans.catalogue import _FACTS, _RENDER, NEXT, WITH, _table, query, render_trace
 from tracelake.plans.traces import traces
 from tracelake.session import shared_dir
-from tracelake.sources import files
+from tracelake.sources import batch, files
 
 
 def _folder(spark, name: str) -> str:
@@ -47,16 +47,18 @@ def jsonl_first_lines(spark, sf_dir):
     return files.first_lines(spark, _lines(spark, sf_dir), 25).select("index", F.regexp_extract("line", r'^(\{"broken|\[1, 2\]|\{"trace_id":[0-9]+)', 1).alias("head"))
 
 
-@query(f"{WITH} SELECT count(*) AS n_lines, 2 * count(*) AS n_appended, least(10, count(*)) AS n_capped, 0 AS n_missing FROM traces")
+@query(f"{WITH} SELECT count(*) AS n_lines, 2 * count(*) AS n_appended, least(10, count(*)) AS n_capped, 0 AS n_missing, (SELECT md5(string_agg(md5(trace), ',' ORDER BY trace_id)) FROM (SELECT * FROM traces ORDER BY trace_id LIMIT 10)) AS capped_md5 FROM traces")
 def jsonl_counts(spark, sf_dir):
     """Lines after a first write, after the same rows are appended, of a capped write, and of a file that is not there."""
     rows, at, capped = traces(spark, sf_dir), _folder(spark, "rows"), _folder(spark, "capped")
     files.write_lines(rows, at)
     first = files.line_count(spark, at)
     files.write_lines(rows, at, mode="append")
-    files.write_lines(rows, capped, limit=10)
+    files.write_lines(rows, capped, limit=10, order="trace_id")
+    first_ten = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trace_id", F.md5("trace").alias("m")))), lambda x: x["m"]), ","))
     counts = (first, files.line_count(spark, at), files.line_count(spark, capped), files.line_count(spark, _folder(spark, "none")))
-    return spark.createDataFrame([counts], "n_lines long, n_appended long, n_capped long, n_missing long")
+    one = spark.read.json(capped).agg(first_ten.alias("capped_md5"))
+    return one.select(*[F.lit(n).cast("long").alias(c) for n, c in zip(counts, ("n_lines", "n_appended", "n_capped", "n_missing"))], "capped_md5")
 
 
 @query(f"{WITH} SELECT trace_id, md5(trace) AS trace_md5 FROM traces")
@@ -74,13 +76,22 @@ def numbered_files(spark, sf_dir):
     return files.whole(spark, at).select(number.alias("number"), F.md5("trace").alias("trace_md5"), F.lit(files.next_number(spark, at)).cast("long").alias("next_number"))
 
 
-@query("SELECT 'checkpoint-1000' AS latest, CAST(NULL AS VARCHAR) AS latest_of_none")
+@query("""SELECT 'checkpoint-' || max(o_orderkey % 1000 * 10) AS latest, CAST(NULL AS VARCHAR) AS latest_of_none, CAST(count(*) FILTER (o_orderkey % 1000 = (SELECT max(o_orderkey % 1000) FROM orders)) AS BIGINT) AS n_rows FROM orders""")
 def latest_checkpoint(spark, sf_dir):
+    """The orders saved as numbered checkpoints: the last one is found by its number, not by its name, and read back."""
     at = _folder(spark, "run")
-    for name in ("checkpoint-9", "checkpoint-1000", "checkpoint-200", "checkpoint-x", "other-5000"):
-        spark.range(1).write.parquet(f"{at}/{name}")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000 * 10).alias("step"))
+    steps = F.when(F.col("step") == rows.agg(F.max("step")).first()[0], F.concat(F.lit("checkpoint-"), "step")).when(F.col("step") % 1000 == 0, F.concat(F.lit("checkpoint-"), F.col("step") / F.lit(1000).cast("int"))).otherwise(F.lit("other-99999"))
+    rows.select("o_orderkey", steps.alias("folder")).repartition("folder").write.partitionBy("folder").parquet(at + "-by")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(at))
+    for f in fs.globStatus(hadoop.Path(at + "-by/folder=*")):
+        fs.rename(f.getPath(), hadoop.Path(at, f.getPath().getName().partition("=")[2]))
     last = files.latest_checkpoint(spark, at)
-    return spark.createDataFrame([(last.rpartition("/")[2], files.latest_checkpoint(spark, f"{at}/none"))], "latest string, latest_of_none string")
+    none = files.latest_checkpoint(spark, f"{at}/none")
+    found = spark.read.schema("o_orderkey long").parquet(last).agg(F.count("*").alias("n_rows"))
+    return found.select(F.lit(last.rpartition("/")[2]).alias("latest"), F.lit(none).cast("string").alias("latest_of_none"), "n_rows")
 
 
 @query(f"""{WITH} SELECT 'trace-' || trace_id AS custom_id, CASE WHEN trace_id % 4 = 0 THEN '{{"code":429}}' END AS error, CASE WHEN trace_id % 4 <> 0 AND trace_id % 9 <> 0 THEN md5(trace) END AS content_md5 FROM traces""")
@@ -300,3 +311,37 @@ def enough_replies(spark, sf_dir):
     rows = traces(spark, sf_dir).withColumn("text", F.concat(((3 - F.length("trace") % 3) % 3).cast("string"), F.lit("\n"), "trace"))
     got, _ = calls.first_valid_of(rows, "trace_id", "text", _answer, lambda c: validate.validation(c)["valid"], rows.count() // 4, retries=0, sleep=_at_once)
     return got.select("trace_id", F.md5("reply").alias("reply_md5"))
+
+
+# A batch job from requests to results.
+
+
+@query(f"""{WITH} SELECT 'trace-' || trace_id AS custom_id, CASE WHEN trace_id % 4 = 0 THEN 'failed' WHEN trace_id % 9 = 0 THEN 'malformed' ELSE 'ok' END AS status, CASE WHEN trace_id % 4 <> 0 AND trace_id % 9 <> 0 THEN md5(trace) END AS content_md5,
+ (SELECT count(*) FROM traces) AS n_requests, 0::BIGINT AS n_before, (SELECT count(*) FROM traces WHERE trace_id % 4 = 0) AS n_failed FROM traces""")
+def batch_job(spark, sf_dir):
+    """Requests for all traces go out as a job, results come back in files; before the job is completed there are none."""
+    rows, at = traces(spark, sf_dir), _folder(spark, "job")
+    k = F.col("trace_id")
+    said = F.array(F.struct(F.lit("user").alias("role"), F.col("trace").alias("content")))
+    asks = planning.requests(rows.withColumn("custom_id", F.concat(F.lit("trace-"), k.cast("string"))), "model", said)
+    info = batch.submit(asks, at, "custom_id", model="model", inline=True)
+    sent = spark.read.schema("custom_id string, body struct<messages:array<struct<content:string>>>").json(f"{at}/requests")
+    trace, number = F.col("body.messages")[0]["content"], F.split_part("custom_id", F.lit("-"), F.lit(2)).cast("long")
+    choices = F.filter(F.array(F.struct(F.struct(trace.alias("content")).alias("message"))), lambda x: number % 9 != 0)
+    back = sent.select("custom_id", F.when(number % 4 == 0, F.struct(F.lit(429).alias("code"))).alias("error"), F.when(number % 4 != 0, F.struct(F.struct(choices.alias("choices")).alias("body"))).alias("response"))
+    files.write_lines(back, f"{at}/back")
+    _as_results(spark, at)
+    before = batch.results(spark, at).count()
+    batch.update_job(at, status="completed")
+    failed = batch.results(spark, at).where("status = 'failed'").count()
+    counts = [F.lit(n).cast("long").alias(c) for n, c in ((info["count"], "n_requests"), (before, "n_before"), (failed, "n_failed"))]
+    return batch.results(spark, at).select("custom_id", "status", F.md5("content").alias("content_md5"), *counts)
+
+
+def _as_results(spark, at: str) -> None:
+    """What a service would do: put its files into the job's results."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(at, "results"))
+    for f in fs.globStatus(hadoop.Path(at, "back/part-*")):
+        fs.rename(f.getPath(), hadoop.Path(at, f"results/{f.getPath().getName().removesuffix('.json')}.jsonl"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,9 +88,16 @@ def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
     return max(named)[1] if named else None
 
 
-def write_lines(df: DataFrame, path: str, mode: str = "overwrite", limit: int | None = None) -> None:
-    """JSON lines; nulls are written."""
-    (df.limit(limit) if limit else df).write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_lines(df: DataFrame, path: str, mode: str = "overwrite", limit: int | None = None, order: str | None = None) -> None:
+    """JSON lines; nulls are written. limit: only the first rows by order (a bigint key without repeats), however they lie."""
+    from tracelake.functions.ordered import unused, with_ordinal
+
+    if limit is not None:
+        if order is None:
+            raise ValueError("the first rows of what order?")
+        (at,) = unused(df, "ordinal")
+        df = with_ordinal(df, order, at).where(F.col(at) < limit).drop(at)
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_numbered(df: DataFrame, folder: str, text: str = "trace", order: str = "trace_id", start: int | None = None) -> None:
@@ -97,41 +106,53 @@ def write_numbered(df: DataFrame, folder: str, text: str = "trace", order: str =
     folder is a path or URI that executors can write to: a shared directory, or a store that Arrow knows.
     """
     from tracelake.functions.ordered import with_ordinal
+    from tracelake.sources.batch import place
 
     base = next_number(df.sparkSession, folder) if start is None else start
-    uri = folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
-    uri = re.sub(r"^file:/+", "file:///", uri)
 
     def put(rows):
-        from pyarrow.fs import FileSystem
-
-        fs, at = FileSystem.from_uri(uri)
+        fs, at = place(folder)
         fs.create_dir(at, recursive=True)
         for r in rows:
-            with fs.open_output_stream(f"{at.rstrip('/')}/trace_{base + r.ordinal:04d}.task") as f:
+            with fs.open_output_stream(f"{at}/trace_{base + r.ordinal:04d}.task") as f:
                 f.write((r.text or "").encode())
 
     with_ordinal(df, order).select("ordinal", F.col(text).alias("text")).foreachPartition(put)
 
 
 def write_array(df: DataFrame, path: str) -> None:
-    """All rows as one file with one JSON array, an element a line. Executors write the rows as text; the driver only
-    joins the files' bytes, in their order, so no task holds the table."""
-    spark, parts = df.sparkSession, f"{path.rstrip('/')}.parts"
+    """All rows as one file with one JSON array, an element a line; path is in a folder that all executors share.
+
+    Tasks write the rows as text first. The lengths of these files say where each belongs in the whole, and tasks copy them
+    there, every one its own; the driver sees the lengths only. The file appears under its name when it is complete.
+    """
+    from tracelake.sources.batch import place
+
+    spark, parts, name = df.sparkSession, f"{path.rstrip('/')}.parts", f"{path.rstrip('/')}.part"
     df.select(F.concat(F.lit(","), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})).alias("value")).write.mode("overwrite").text(parts)
-    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
-    at = hadoop.fs.Path(path)
-    fs = at.getFileSystem(conf)
-    out, first = fs.create(at, True), True
-    out.writeBytes("[")
-    for f in sorted(fs.globStatus(hadoop.fs.Path(parts, "part-*")), key=lambda f: f.getPath().getName()):
-        if f.getLen():
-            own = fs.open(f.getPath())
-            if first:
-                own.skip(1)  # the comma before the first element
-            first = False
-            hadoop.io.IOUtils.copyBytes(own, out, conf, False)
-            own.close()
-    out.writeBytes("]\n")
-    out.close()
-    fs.delete(hadoop.fs.Path(parts), True)
+    fs, at = place(parts)
+    found = [(f.path, f.size) for f in sorted(fs.get_file_info(FileSelector(at)), key=lambda f: f.path) if f.base_name.startswith("part-") and f.size]
+    whole = os.path.abspath(place(name)[1])
+    total = sum(n for _, n in found)
+    with open(whole, "wb") as out:
+        out.truncate(max(total, 1) + len("]\n"))
+        out.write(b"[")  # in the place of the comma before the first element
+        out.seek(max(total, 1))
+        out.write(b"]\n")
+    starts, start = [], 0
+    for file, n in found:
+        starts.append((file, start))
+        start += n
+
+    def copy(rows):
+        for r in rows:
+            with open(r.file, "rb") as own, open(whole, "r+b") as out:
+                skip = int(r.start == 0)
+                own.seek(skip)
+                out.seek(r.start + skip)
+                shutil.copyfileobj(own, out, 1 << 20)
+
+    if starts:
+        spark.createDataFrame(starts, "file string, start long").repartition(len(starts)).foreachPartition(copy)
+    os.replace(whole, os.path.abspath(place(path)[1]))
+    fs.delete_dir(at)
