@@ -1,0 +1,92 @@
+import hashlib
+import random
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tracelake.functions.ordered import upper_median
+from tracelake.operators import parse, planning
+from tracelake.streaming import rolling
+from tests.test_scanner import F1
+
+
+def test_batches_by_agree_with_batches(spark):
+    counts = spark.createDataFrame([("a", 123), ("b", 0), ("c", 7), ("d", 1)], "batch_of string, n long")
+    got = {}
+    for r in planning.batches_by(counts, "n").collect():
+        got.setdefault(r.batch_of, set()).add((r.has_tools, r.has_follow_ups, r.batch, r.size))
+    for name, n in (("a", 123), ("c", 7), ("d", 1)):
+        assert got[name] == {(r.has_tools, r.has_follow_ups, r.batch, r.size) for r in planning.batches(spark, n).collect()}
+    assert "b" not in got
+
+
+def test_drawn_rows_are_the_shuffled_ones(spark):
+    df = spark.range(500).withColumnRenamed("id", "place").repartition(5)
+    want = [r.place for r in planning.shuffled(df, "place", 60).collect()]
+    got = sorted(planning.drawn(df, "place", 60, buckets=16).collect(), key=lambda r: r.place_)
+    assert [(r.place, r.place_) for r in got] == [(w, i) for i, w in enumerate(want)]
+    assert planning.drawn(df, "place", 9999).count() == 500 and planning.drawn(df, "place", 0).count() == 0
+
+
+def test_difficulty(spark):
+    r = random.Random(1)
+    rows = [(g, p, r.random() < rate) for g in ("x", "y", None) for p in [*range(40), None] for rate in [r.choice([0, 0, 1, 1, 0.5, 0.3])] for _ in range(r.randint(1, 6))]
+    rows += [("x", 3, None), ("lone", 1, True)]
+    got = planning.by_difficulty(spark.createDataFrame(rows, "g string, p long, ok boolean").repartition(6), "g", "p", "ok", easy=0.25, hard=0.1, prefix=1).collect()
+    for g in {x[0] for x in rows}:
+        own = {}
+        for h, p, ok in rows:
+            if h == g:
+                own.setdefault(p, []).append(bool(ok))
+        order = sorted(own, key=lambda p: (sum(own[p]) / len(own[p]), "~" if p is None else hashlib.md5(str(p).encode()).hexdigest()))
+        n = len(order)
+        want = {p: (len(own[p]), sum(own[p]), i, "hard" if i < int(n * 0.1) else "easy" if i >= n - int(n * 0.25) else "kept") for i, p in enumerate(order)}
+        assert {x.p: (x.n, x.n_passed, x.rank, x.difficulty) for x in got if x.g == g} == want
+    assert planning.by_difficulty(spark.createDataFrame([], "g string, p long, ok boolean"), "g", "p", "ok").count() == 0
+
+
+def test_median_plan_has_no_window_over_rows_or_values(spark):
+    r = random.Random(2)
+    values = [r.choice([5, r.randint(-10**12, 10**12)]) for _ in range(401)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    known = sorted(v for v in values if v is not None)
+    got = upper_median(df, "v")
+    assert got.first().median == known[len(known) // 2]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    first = re.findall(r"Window \[.*?AS \S+\], \[(\w+)#", plan)  # the key, or the order of a window without one: of bucket totals
+    assert first and set(first) == {"bucket"}
+    assert upper_median(df.where("v is null"), "v").first().median is None
+
+
+def test_rolled_equals_a_plain_walk():
+    r = random.Random(3)
+    scores = [r.choice([float("nan"), -1.0, 0.0, 2.5, r.uniform(-5, 5)]) for _ in range(500)]
+    for size in (1, 7, 50, 5000):
+        kept, got = [], []
+        for at in range(0, 500, 23):
+            out, kept = rolling.rolled(kept, pd.Series(scores[at : at + 23]), size)
+            got += out.itertuples(index=False, name=None)
+            assert len(kept) <= size
+        for i, (rate, lo, hi) in enumerate(got):
+            own = scores[max(0, i - size + 1) : i + 1]
+            known = [x for x in own if x == x]
+            assert abs(rate - sum(x > 0 for x in known) / len(own)) < 1e-12
+            assert (lo, hi) == (min(known), max(known)) if known else (lo != lo and hi != hi)
+
+
+def test_plain_log(spark):
+    df = spark.createDataFrame([(0, 2.0, 0.5), (5, 0.25, 0.0), (10, None, None), (20, -1.0, 0.125)], "seq long, score double, judge double")
+    got = {r.seq: (r.line, r.step_line) for r in rolling.plain_log(df).collect()}
+    assert got == {0: ("[0] ✓ verifier=2.00 | judge=0.50", None), 5: ("[5] ~ verifier=0.25", None), 10: ("[10] ✗ verifier=nan", "  Step 10: reward_mean=1.13"), 20: ("[20] ✗ verifier=-1.00 | judge=0.13", "  Step 20: reward_mean=0.42")}
+
+
+def test_detail(spark):
+    many = "act { a ↦ 1 " + " ".join(f"※ r{k}" for k in range(30)) + " }" + " ??? ".join(["", *["user「x」"] * 7])
+    df = spark.createDataFrame([(1, F1), (2, many), (3, None)], "id int, trace string")
+    got = {r.id: r.detail for r in parse.detail(parse.with_rewards(df, strict=False)).collect()}
+    assert [(b.type, b.size) for b in got[1].blocks] == list(zip(*(parse.facts_of(F1, False)[c] for c in ("blocks", "sizes")))) and got[1].score == got[1].rewards["parse_valid"] + sum(v for k, v in got[1].rewards.items() if k != "parse_valid")
+    assert got[1].calls_without_result == [] and "output_length" not in got[1].rewards
+    assert len(got[2].referenced_tags) == 15 and got[2].n_referenced_tags == 30 and got[2].referenced_tags[0] == "r0"
+    assert len(got[2].warnings) == 5 and got[2].n_warnings == 7
+    assert got[3].blocks == [] and got[3].n_errors == 0

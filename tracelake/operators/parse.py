@@ -112,6 +112,22 @@ def with_rewards(df: DataFrame, text: str = "trace", strict: bool = True) -> Dat
     return parsed.withColumn("reward", reward(F.col("facts"))).withColumn("class", score_class(F.col("reward.total")))
 
 
+SHOWN, SHOWN_ERRORS = 15, 5
+
+
+def detail(rewarded: DataFrame, facts: str = "facts", reward_: str = "reward", shown: int = SHOWN, errors: int = SHOWN_ERRORS) -> DataFrame:
+    """rewarded with detail, what a reader is shown of a trace: score, blocks (type, size), the sorted lists cut to their first shown
+    items and messages to their first errors ones (with how many there were), calls without result and results without call."""
+    f = lambda c: F.col(f"{facts}.{c}")
+    lists = ["defined_tags", "referenced_tags", "defined_todos", "satisfied_todos", "defined_tools", "called_tools", "call_ids", "result_ids"]
+    cut = [F.slice(f(c), 1, shown).alias(c) for c in lists] + [F.slice(f(c), 1, errors).alias(c) for c in ("errors", "warnings")]
+    counts = [F.size(f(c)).alias(f"n_{c}") for c in (*lists, "errors", "warnings")]
+    blocks = F.arrays_zip(f("blocks").alias("type"), f("sizes").alias("size"))
+    pairs = [F.array_except(f("call_ids"), f("result_ids")).alias("calls_without_result"), F.array_except(f("result_ids"), f("call_ids")).alias("results_without_call")]
+    parts = F.map_from_arrays(F.array(*[F.lit(c) for c in COMPONENTS]), F.array(*[F.col(f"{reward_}.{c}") for c in COMPONENTS]))
+    return rewarded.withColumn("detail", F.struct(F.col(f"{reward_}.total").alias("score"), F.map_filter(parts, lambda k, v: v.isNotNull()).alias("rewards"), blocks.alias("blocks"), *cut, *counts, *pairs))
+
+
 def summary(rewarded: DataFrame) -> DataFrame:
     t = F.col("reward.total")
     return rewarded.agg(F.count("*").alias("n"), F.round(F.avg(t), 6).alias("mean"), F.round(F.min(t), 6).alias("min"), F.round(F.max(t), 6).alias("max"), F.count_if(~F.col("facts.valid")).alias("n_parse_errors"), F.count_if(t > 1.5).alias("n_pass"))

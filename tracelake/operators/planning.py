@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.ordered import unused
 from tracelake.operators.validate import validation
 
 # Subject areas of generated traces, default rates and bounds.
@@ -34,10 +35,60 @@ def batches(spark: SparkSession, count: int, **rates: float) -> DataFrame:
     return cut.select("has_tools", "has_follow_ups", "batch", F.least(F.lit(BATCH), F.col("n") - F.col("batch") * BATCH).cast("long").alias("size"))
 
 
+def batches_by(counts: DataFrame, count: str, no_tools: float = NO_TOOLS_RATE, follow_up: float = FOLLOW_UP_RATE) -> DataFrame:
+    """``batches`` for every row of counts: its other columns, has_tools, has_follow_ups, batch, size."""
+    rest = [F.col(f"`{c}`") for c in counts.columns if c != count]
+    share = lambda n, rate: F.floor(n * F.lit(float(rate))).cast("long")
+    n = F.col(f"`{count}`").cast("long")
+    halves = F.array(F.struct(F.lit(True).alias("has_tools"), (n - share(n, no_tools)).alias("n")), F.struct(F.lit(False).alias("has_tools"), share(n, no_tools).alias("n")))
+    some = counts.select(*rest, F.explode(halves).alias("h")).withColumn("many", share(F.col("h.n"), follow_up))
+    quota = F.array(F.struct(F.lit(False).alias("f"), (F.col("h.n") - F.col("many")).alias("n")), F.struct(F.lit(True).alias("f"), F.col("many").alias("n")))
+    each = some.select(*rest, "h.has_tools", F.explode(quota).alias("q")).where("q.n > 0")
+    cut = each.select(*rest, "has_tools", F.col("q.f").alias("has_follow_ups"), F.col("q.n").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.col("q.n") - 1) / BATCH).cast("long"))).alias("batch"))
+    return cut.select(*rest, "has_tools", "has_follow_ups", "batch", F.least(F.lit(BATCH), F.col("n") - F.col("batch") * BATCH).cast("long").alias("size"))
+
+
 def shuffled(df: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
     return df.orderBy(draw(F.col(key), "shuffle", seed), key).limit(count)
 
 
+def drawn(df: DataFrame, key: str, count: int, seed: int = 0, buckets: int = 4096) -> DataFrame:
+    """The rows that ``shuffled`` keeps, with their place in it, without sorting them in one task.
+
+    Draws are even, so rows are numbered in buckets of draws, and bucket totals are added up. key: unique, not null.
+    """
+    d, b, before, at = unused(df, "draw", "bucket", "before", "place")
+    own = df.withColumn(d, draw(F.col(key), "shuffle", seed)).withColumn(b, F.floor(F.col(d) * buckets).cast("int"))
+    totals = own.groupBy(b).agg(F.count("*").alias("n"))
+    ahead = totals.select(b, F.coalesce(F.sum("n").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before)).where(F.col(before) < count)
+    ranked = own.join(F.broadcast(ahead), b)  # one row per bucket
+    place = F.col(before) + F.row_number().over(Window.partitionBy(b).orderBy(d, key)) - 1
+    return ranked.withColumn(at, place).where(F.col(at) < count).drop(d, b, before)
+
+
+def by_difficulty(rollouts: DataFrame, group: str, problem: str, passed: str, easy: float = 0.2, hard: float = 0.2, prefix: int = 2) -> DataFrame:
+    """One row per group and problem: n (rollouts), n_passed, rate, rank (from 0, hardest first), difficulty.
+
+    The hardest and the easiest share of each group's problems, by the rate of rollouts that passed (shares are cut off to
+    whole numbers), are hard and easy, the others kept. Equal rates go by a hash of the problem, then by the problem. A null in
+    passed is a rollout that did not pass; null groups and problems are values like others. Ranks are taken in two
+    levels: counts per group, rate and hash prefix are added up, and rows are numbered inside these only, so that a group,
+    or a rate that most problems have, is no single task.
+    """
+    own = rollouts.select(F.col(group).alias("g"), F.col(problem).alias("p"), F.coalesce(F.col(passed), F.lit(False)).alias("ok"))
+    rows = own.groupBy("g", "p").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_passed"))
+    rows = rows.withColumn("rate", F.col("n_passed") / F.col("n")).withColumn("h", F.coalesce(F.md5(F.col("p").cast("string")), F.lit("~"))).withColumn("b", F.left("h", F.lit(prefix)))
+    cells = rows.groupBy("g", "rate", "b").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("g").orderBy("rate", "b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("g").alias("_g"), F.col("rate").alias("_r"), F.col("b").alias("_b"), F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("g")).alias("of"))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("g", "rate", "b").orderBy("h", "p")))
+    both = ranked.join(cells, F.col("g").eqNullSafe(F.col("_g")) & (F.col("rate") == F.col("_r")) & (F.col("b") == F.col("_b")))
+    rank = F.col("before") + F.col("k") - 1
+    cut = lambda share: F.floor(F.col("of") * F.lit(float(share)))
+    kind = F.when(F.col("rank") < cut(hard), "hard").when(F.col("rank") >= F.col("of") - cut(easy), "easy").otherwise("kept")
+    return both.withColumn("rank", rank).select(F.col("g").alias(group), F.col("p").alias(problem), "n", "n_passed", "rate", "rank", kind.alias("difficulty"))
+
+
 def plan(spark: SparkSession, count: int, seed: int = 0) -> DataFrame:
     """One row per request: idx, custom_id, has_tools, has_follow_ups, include_error, num_steps, domain. The first
     int(count * NO_TOOLS_RATE) rows have no tools; errors need tools."""

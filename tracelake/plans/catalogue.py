@@ -435,19 +435,29 @@ plan AS (SELECT idx, 'trace-' || idx AS custom_id, idx >= {bare} AS has_tools, {
  CAST(floor({_draw('steps')} * 46) AS INT) + 5 AS num_steps, ['coding', 'data_analysis', 'research', 'writing', 'planning', 'math', 'troubleshooting', 'creative', 'education', 'business'][CAST(floor({_draw('domain')} * 10) AS INT) + 1] AS domain FROM r)"""
 
 
-@query(f"WITH {_plan_sql(1000)} SELECT * FROM plan")
+_CUSTOMERS = "(SELECT count(*) FROM customer)"
+
+
+@query(f"WITH {_plan_sql(_CUSTOMERS)} SELECT * FROM plan")
 def request_plan(spark, sf_dir):
-    return planning.plan(spark, 1000)
+    """A request for each customer."""
+    return planning.plan(spark, _table(spark, sf_dir, "customer").count())
 
 
-@query("""SELECT t AS has_tools, f AS has_follow_ups, b AS batch, least(10, n - b * 10) AS size FROM (VALUES (true, false, 70::BIGINT), (true, true, 29::BIGINT), (false, false, 17::BIGINT), (false, true, 7::BIGINT)) q(t, f, n), unnest(range((n + 9) // 10)) u(b)""")
+@query("""WITH c AS (SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY c_mktsegment), b AS (SELECT segment, n, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS bare FROM c),
+h AS (SELECT segment, true AS t, n - bare AS k FROM b UNION ALL SELECT segment, false, bare FROM b), m AS (SELECT *, CAST(floor(k * 0.3::DOUBLE) AS BIGINT) AS many FROM h),
+q AS (SELECT segment, t, false AS f, k - many AS n FROM m UNION ALL SELECT segment, t, true, many FROM m)
+SELECT segment, t AS has_tools, f AS has_follow_ups, b AS batch, least(10, n - b * 10) AS size FROM q, unnest(range((n + 9) // 10)) u(b)""")
 def request_batches(spark, sf_dir):
-    return planning.batches(spark, 123)
+    """The customers of each market segment as request batches."""
+    return planning.batches_by(_table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("count")), "count")
 
 
-@query(f"WITH {_plan_sql(1000)} SELECT idx FROM plan ORDER BY {_draw('shuffle')}, idx LIMIT 50")
+@query(f"WITH {_plan_sql(_CUSTOMERS)}, w AS (SELECT idx, row_number() OVER (ORDER BY {_draw('shuffle')}, idx) AS k FROM plan) SELECT idx, k - 1 AS place FROM w WHERE k <= {_CUSTOMERS} // 20")
 def shuffled_plan(spark, sf_dir):
-    return planning.shuffled(planning.plan(spark, 1000), "idx", 50).select("idx")
+    """A twentieth of the plan, drawn and in the order drawn."""
+    n = _table(spark, sf_dir, "customer").count()
+    return planning.drawn(planning.plan(spark, n), "idx", n // 20).select("idx", "place")
 
 
 _MATCH = f"""{NEXT} {_FACTS}, {_plan_sql('(SELECT count(*) * 9 // 10 FROM traces)')}, q AS (SELECT * FROM plan),
@@ -566,3 +576,21 @@ def log_severity(spark, sf_dir):
     marks = F.array(*[F.lit(x) for x in ("[ERROR] ✓", "[Reward] Warning", "[Judge] [Reward]", "[Reward] ✓", "✓ ✗", "✗", "plain")])
     line = F.concat(F.element_at(marks, (F.col("event_id") % 7 + 1).cast("int")), "event_type")
     return _table(spark, sf_dir, "events").select("event_id", lex.severity(line).alias("severity"))
+
+
+@query(f"""{_LOG}, m AS (SELECT seq, score, CAST(CAST(round(score, 2) AS DECIMAL(12, 2)) AS VARCHAR) AS v, CASE WHEN seq % 3 = 0 THEN CAST(CAST(round((seq % 101) / 100.0::DOUBLE, 2) AS DECIMAL(12, 2)) AS VARCHAR) END AS j, avg(score) OVER (ORDER BY seq ROWS 49 PRECEDING) AS mean FROM g)
+SELECT seq, '[' || seq || '] ' || CASE WHEN score > 1.5::DOUBLE THEN '✓' WHEN score > 0 THEN '~' ELSE '✗' END || ' verifier=' || v || CASE WHEN j IS NOT NULL AND seq % 101 <> 0 THEN ' | judge=' || j ELSE '' END AS line,
+ CASE WHEN seq % 10 = 0 AND seq <> 0 THEN '  Step ' || seq || ': reward_mean=' END AS step, CASE WHEN seq % 10 = 0 AND seq <> 0 THEN round(mean, 6) END AS reward_mean FROM m""")
+def plain_log(spark, sf_dir):
+    judge_score = F.when(F.col("seq") % 3 == 0, (F.col("seq") % 101) / 100)
+    rows = rolling.plain_log(_log(spark, sf_dir).withColumn("judge", judge_score), "seq", "score", "judge")
+    return rows.select("seq", "line", F.regexp_extract("step_line", r"^(.*reward_mean=)", 1).alias("step"), F.round("reward_mean", 6).alias("reward_mean"))
+
+
+@query("""WITH p AS (SELECT event_type, user_id, count(*) AS n, count(*) FILTER (value > 20) AS n_passed FROM events GROUP BY event_type, user_id),
+r AS (SELECT *, n_passed / n::DOUBLE AS rate, row_number() OVER (PARTITION BY event_type ORDER BY n_passed / n::DOUBLE, md5(CAST(user_id AS VARCHAR)), user_id) - 1 AS rank, count(*) OVER (PARTITION BY event_type) AS of FROM p)
+SELECT event_type, user_id, n, n_passed, rank, CASE WHEN rank < floor(of * 0.2::DOUBLE) THEN 'hard' WHEN rank >= of - floor(of * 0.2::DOUBLE) THEN 'easy' ELSE 'kept' END AS difficulty FROM r""")
+def difficulty_filter(spark, sf_dir):
+    """Users stand for problems and their events for rollouts, of which those above 20 pass."""
+    rolls = _table(spark, sf_dir, "events").select("event_type", "user_id", (F.col("value") > 20).alias("passed"))
+    return planning.by_difficulty(rolls, "event_type", "user_id", "passed").select("event_type", "user_id", "n", "n_passed", "rank", "difficulty")

@@ -277,6 +277,14 @@ def faulty_reward_summary(spark, sf_dir):
     return parse.summary(parse.with_rewards(_faulty(spark, sf_dir), strict=False))
 
 
+@query(f"""{_SCORED} SELECT s.trace_id, round(total, 6) AS score, CASE WHEN f = 3 THEN 2 + t::INT ELSE 4 + 2 * t::INT + CASE f WHEN 1 THEN 0 WHEN 6 THEN 4 ELSE 1 END END AS n_blocks, CASE f WHEN 3 THEN 1 ELSE 0 END AS n_errors, CASE WHEN f = 7 OR (f = 10 AND t) THEN 1 ELSE 0 END AS n_warnings,
+ CASE WHEN t AND f IN (9, 10) THEN 'c1' ELSE '' END AS calls_without_result, CASE WHEN t AND f = 9 THEN 'c9' ELSE '' END AS results_without_call, CASE WHEN f = 3 OR f = 1 THEN 10 ELSE 11 END AS n_rewards, length('You sell parts.') AS system_size FROM s JOIN broken b ON s.trace_id = b.trace_id""")
+def trace_detail(spark, sf_dir):
+    d = parse.detail(parse.with_rewards(_faulty(spark, sf_dir), strict=False))
+    joined = lambda c: F.array_join(f"detail.{c}", "|").alias(c)
+    return d.select("trace_id", F.round("detail.score", 6).alias("score"), F.size("detail.blocks").alias("n_blocks"), "detail.n_errors", "detail.n_warnings", joined("calls_without_result"), joined("results_without_call"), F.size("detail.rewards").alias("n_rewards"), F.col("detail.blocks")[0]["size"].alias("system_size"))
+
+
 # Calls of a model. The stub answers from the text it is asked, so SQL knows every reply.
 
 

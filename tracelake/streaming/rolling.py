@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,10 +58,39 @@ def recent(log: DataFrame, seq: str = "seq", k: int = 10) -> DataFrame:
     return log.orderBy(F.desc(seq)).limit(k)
 
 
+def plain_log(log: DataFrame, seq: str = "seq", score: str = "score", judge: str = "judge", every: int = 10, size: int = RECENT) -> DataFrame:
+    """Per row the log's line of text: seq, line, step_line (each every-th step but 0, else null), reward_mean (of the last size rows, there).
+
+    A mark tells scores above 1.5 and above 0 from the rest; a judge's score that is null or 0 is not shown. Numbers
+    are rounded to two places, half up. A null score shows as nan.
+    """
+    two = lambda c: F.coalesce(F.round(c, 2).cast("decimal(12,2)").cast("string"), F.lit("nan"))
+    s, j, k = F.col(score), F.col(judge), F.col(seq)
+    mark = F.when(s > 1.5, "✓").when(s > 0, "~").otherwise("✗")
+    shown = F.when(F.coalesce(j, F.lit(0.0)) != 0, F.concat(F.lit(" | judge="), two(j))).otherwise("")
+    line = F.concat(F.lit("["), k.cast("string"), F.lit("] "), mark, F.lit(" verifier="), two(s), shown)
+    out = framed(with_ordinal(log, seq), "ordinal", size, {"reward_mean": lambda w: F.avg(score).over(w)})
+    due = (k % every == 0) & (k != 0)
+    step = F.when(due, F.concat(F.lit("  Step "), k.cast("string"), F.lit(": reward_mean="), two(F.col("reward_mean"))))
+    return out.select(k.alias("seq"), line.alias("line"), step.alias("step_line"), F.when(due, F.col("reward_mean")).alias("reward_mean"))
+
+
 STATE = "recent array<double>, total long"
 STREAM = "log string, seq long, score double, valid_rate double, min_score double, max_score double, n_total long"
 
 
+def rolled(kept: list[float], scores: pd.Series, size: int) -> tuple[pd.DataFrame, list[float]]:
+    """valid_rate, min_score, max_score of new scores that follow the kept ones, and what to keep. A step costs the same whatever the
+    size: pandas' rolling minimum and maximum are monotone queues, and the rate is a running count."""
+    every = pd.concat([pd.Series(kept, dtype="float64"), scores.astype("float64")], ignore_index=True)
+    frame = every.rolling(size, min_periods=1)
+    above = (every > 0).cumsum()
+    n = pd.Series(range(1, len(every) + 1)).clip(upper=size)
+    rate = (above - above.shift(size, fill_value=0)) / n
+    out = pd.DataFrame({"valid_rate": rate, "min_score": frame.min(), "max_score": frame.max()}).iloc[len(kept) :].reset_index(drop=True)
+    return out, every.iloc[-size:].tolist()
+
+
 def stream_stats(log: DataFrame, size: int = RECENT) -> DataFrame:
     """Streaming (log, seq, score): each row with the statistics over the last size rows of its log, by arrival and, in a
     batch, by seq. The state holds size scores per log. A null score counts as a row, not above 0."""
@@ -70,14 +98,10 @@ def stream_stats(log: DataFrame, size: int = RECENT) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, total = state.get if state.exists else ([], 0)
-        kept, rows = deque(kept, maxlen=size), pd.concat(list(frames)).sort_values("seq", kind="stable")
-        out = []
-        for seq, score in zip(rows["seq"].tolist(), rows["score"].tolist(), strict=True):
-            kept.append(float("nan") if score is None else float(score))
-            total += 1
-            known = [x for x in kept if x == x]
-            out.append((key[0], seq, None if score is None or score != score else score, sum(x > 0 for x in known) / len(kept), min(known, default=None), max(known, default=None), total))
-        state.update((list(kept), total))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAM.split(", ")])
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable").reset_index(drop=True)
+        out, kept = rolled([float("nan") if x is None else x for x in kept], rows["score"], size)
+        state.update((kept, total + len(rows)))
+        own = rows[["seq", "score"]].assign(log=key[0], n_total=range(total + 1, total + len(rows) + 1))
+        yield pd.concat([own, out], axis=1)[[c.split()[0] for c in STREAM.split(", ")]]
 
     return log.groupBy("log").applyInPandasWithState(run, STREAM, STATE, "append", GroupStateTimeout.NoTimeout)
