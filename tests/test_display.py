@@ -11,6 +11,14 @@ def test_blocks_and_syntax():
     assert [(k, s[a:b]) for k, a, b in display.syntax(s)] == [("keyword", "plan"), ("operator", "↦"), ("string", '"id"'), ("operator", "•"), ("tag", "🏷 t"), ("reference", "※ [a • b]"), ("satisfies", "⊨ 2"), ("confidence", "𝑝 0.5"), ("comment", "// c")]
 
 
+def test_syntax_rows(spark):
+    texts = ["plan { 1 ↦ 「é」 }", None, "", "no tokens here 日本", "act act"] * 30
+    df = spark.createDataFrame([(str(i), t, 1) for i, t in enumerate(texts)], "key string, text string, class int").repartition(3)
+    got = sorted(((r.key, r["class"], r.start, r.end, r.token) for r in display.syntax_rows(df, "key", "text").collect()), key=lambda x: (int(x[0]), x[2]))
+    assert got == [(str(i), c, a, b, t[a:b]) for i, t in enumerate(texts) for c, a, b in display.syntax(t or "")]
+    assert display.syntax_rows(df.limit(0), "key", "text").count() == 0
+
+
 def test_block_rows(spark):
     df = spark.createDataFrame([("user「a」\nact { }",), (None,)], "t string")
     got = df.select(F.explode(display.block_rows("t")).alias("b")).select("b.*").collect()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: block kinds and syntax classes
@@ -38,6 +39,26 @@ def syntax(text: str) -> list[tuple[str, int, int]]:
     return [(m.lastgroup, *m.span()) for m in _SYNTAX.finditer(text)]
 
 
+def syntax_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per token: key, class, start, end (exclusive, in characters) and token, by a table function over whole batches.
+
+    Null texts and texts without tokens have no rows; key may be of any type and need not be unique.
+    """
+
+    @F.arrow_udtf(returnType=f"key {df.schema[key].dataType.simpleString()}, class string, start int, end int, token string")
+    class Tokens:
+        def eval(self, rows: pa.RecordBatch):
+            at, found = [], []
+            for i, t in enumerate(rows.column("text").to_pylist()):
+                own = [(*x, t[x[1] : x[2]]) for x in syntax(t or "")]
+                at += [i] * len(own)
+                found += own
+            cols = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(at, pa.int64())), *cols], ["key", "class", "start", "end", "token"])
+
+    return Tokens(df.select(F.col(key).alias("key"), F.col(text).alias("text")).asTable()).withColumnRenamed("key", key)
+
+
 def block_rows(text: Column | str) -> Column:
     """array<struct<type, text>>, to be exploded."""
 

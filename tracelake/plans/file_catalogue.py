@@ -285,6 +285,18 @@ def trace_detail(spark, sf_dir):
     return d.select("trace_id", F.round("detail.score", 6).alias("score"), F.size("detail.blocks").alias("n_blocks"), "detail.n_errors", "detail.n_warnings", joined("calls_without_result"), joined("results_without_call"), F.size("detail.rewards").alias("n_rewards"), F.col("detail.blocks")[0]["size"].alias("system_size"))
 
 
+_TOKEN = r"""'「[^」]*」|"[^"]*"|//[^\n]*|🏷\s*\S+|※\s*(?:\[[^\]]+\]|\S+)|⊨\s*\d+|𝑝\s*[\d.]+|[↦•]|\b(?:system|tool|user|plan|act|result|response|todo|call|think|data|error|name|params|type|enum|required|description|rationale|id)\b'"""
+
+
+@query(f"""{NEXT} m AS (SELECT trace_id, regexp_extract_all(trace, {_TOKEN}) AS found, list_transform(string_split_regex(trace, {_TOKEN}), lambda x: length(x)) AS gaps FROM traces),
+k AS (SELECT trace_id, found, gaps, list_transform(found, lambda x: length(x)) AS sizes, unnest(range(1, len(found) + 1)) AS k FROM m),
+p AS (SELECT trace_id, found[k] AS token, list_sum(gaps[1:k]) + coalesce(list_sum(sizes[1:k - 1]), 0) AS start FROM k)
+SELECT trace_id, CASE left(token, 1) WHEN '「' THEN 'special' WHEN '"' THEN 'string' WHEN '/' THEN 'comment' WHEN '🏷' THEN 'tag' WHEN '※' THEN 'reference' WHEN '⊨' THEN 'satisfies' WHEN '𝑝' THEN 'confidence' WHEN '↦' THEN 'operator' WHEN '•' THEN 'operator' ELSE 'keyword' END AS class,
+ CAST(start AS INT) AS start, CAST(start + length(token) AS INT) AS end_at, token FROM p""")
+def syntax_tokens(spark, sf_dir):
+    return display.syntax_rows(traces(spark, sf_dir), "trace_id", "trace").withColumnRenamed("end", "end_at")
+
+
 # Calls of a model. The stub answers from the text it is asked, so SQL knows every reply.
 
 
