@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import lex
 from tracelake.operators import display, judge, parse, planning, profile, prompts, render, rewrite, validate
 from tracelake.plans import line_sql
-from tracelake.plans.traces import ACT_RUNS, act_runs, traces
+from tracelake.plans.traces import ACT_RUNS, PARTS, act_runs, traces
 from tracelake.plans.traces import sql as traces_sql
 from tracelake.streaming import rolling
 
@@ -291,7 +291,7 @@ def _rewritten(source: str, *steps: tuple[str, Callable[[str, str], str]]) -> st
     return "WITH RECURSIVE " + ", ".join(out)
 
 
-_SOURCES = {"": (traces, f"traces AS ({traces_sql()})"), "act_runs_": (act_runs, f"traces AS (SELECT p_partkey AS trace_id, {ACT_RUNS} AS trace FROM part)")}
+_SOURCES = {"": (traces, f"traces AS ({traces_sql()})"), "act_runs_": (act_runs, f"traces AS (SELECT p_partkey AS trace_id, {ACT_RUNS} AS trace FROM ({PARTS}))")}
 _MERGED, _UNTAGGED = ("merged", line_sql.merged), ("untagged", line_sql.untagged)
 _ACTS = "CAST((length({0}) - length(replace({0}, 'act {{', ''))) // 5 AS INT)".format
 
@@ -359,6 +359,10 @@ SELECT k AS trace_id, 'system「You sell parts.」' || CASE WHEN k % 2 = 0 THEN
 
 @query(_RENDER)
 def render_trace(spark, sf_dir):
+    return rendered(_table(spark, sf_dir, "part"))
+
+
+def rendered(parts: DataFrame) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     lit = F.lit
     has = size % 3 == 0
@@ -381,7 +385,7 @@ def render_trace(spark, sf_dir):
     steps = F.filter(steps, lambda s: (s["step_type"] != "result") | has)
     system = struct(content="You sell parts.", tag=F.when(k % 2 == 0, "sys1").otherwise(""))
     text = render.trace_text(system, F.filter(F.array(tool), lambda t: has), struct(content=F.col("p_name"), tag="usr1"), steps)
-    return _table(spark, sf_dir, "part").select(k.alias("trace_id"), text.alias("trace"))
+    return parts.select(k.alias("trace_id"), text.alias("trace"))
 
 
 _TOOLS = """CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'tool { name ↦ ' || s_name || ' • description ↦ "' || CASE WHEN s_suppkey % 4 = 1 THEN '' ELSE 'asks ' || s_name END || '" • params ↦ { q ↦ { type ↦ string } • n ↦ { type ↦ ' || CASE WHEN s_suppkey % 2 = 0 THEN 'integer' ELSE 'string' END || ' } } }'
@@ -435,28 +439,28 @@ plan AS (SELECT idx, 'trace-' || idx AS custom_id, idx >= {bare} AS has_tools, {
  CAST(floor({_draw('steps')} * 46) AS INT) + 5 AS num_steps, ['coding', 'data_analysis', 'research', 'writing', 'planning', 'math', 'troubleshooting', 'creative', 'education', 'business'][CAST(floor({_draw('domain')} * 10) AS INT) + 1] AS domain FROM r)"""
 
 
-_CUSTOMERS = "(SELECT count(*) FROM customer)"
+_DOCUMENTS = "(SELECT count(*) FROM documents)"
 
 
-@query(f"WITH {_plan_sql(_CUSTOMERS)} SELECT * FROM plan")
+@query(f"WITH {_plan_sql(_DOCUMENTS)} SELECT * FROM plan")
 def request_plan(spark, sf_dir):
-    """A request for each customer."""
-    return planning.plan(spark, _table(spark, sf_dir, "customer").count())
+    """A request for each document."""
+    return planning.plan(spark, _table(spark, sf_dir, "documents").count())
 
 
-@query("""WITH c AS (SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY c_mktsegment), b AS (SELECT segment, n, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS bare FROM c),
+@query("""WITH c AS (SELECT source AS segment, count(*) AS n FROM documents GROUP BY source), b AS (SELECT segment, n, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS bare FROM c),
 h AS (SELECT segment, true AS t, n - bare AS k FROM b UNION ALL SELECT segment, false, bare FROM b), m AS (SELECT *, CAST(floor(k * 0.3::DOUBLE) AS BIGINT) AS many FROM h),
 q AS (SELECT segment, t, false AS f, k - many AS n FROM m UNION ALL SELECT segment, t, true, many FROM m)
 SELECT segment, t AS has_tools, f AS has_follow_ups, b AS batch, least(10, n - b * 10) AS size FROM q, unnest(range((n + 9) // 10)) u(b)""")
 def request_batches(spark, sf_dir):
-    """The customers of each market segment as request batches."""
-    return planning.batches_by(_table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("count")), "count")
+    """As many requests as each source has documents, as batches."""
+    return planning.batches_by(_table(spark, sf_dir, "documents").groupBy(F.col("source").alias("segment")).agg(F.count("*").alias("count")), "count")
 
 
-@query(f"WITH {_plan_sql(_CUSTOMERS)}, w AS (SELECT idx, row_number() OVER (ORDER BY {_draw('shuffle')}, idx) AS k FROM plan) SELECT idx, k - 1 AS place FROM w WHERE k <= {_CUSTOMERS} // 20")
+@query(f"WITH {_plan_sql(_DOCUMENTS)}, w AS (SELECT idx, row_number() OVER (ORDER BY {_draw('shuffle')}, idx) AS k FROM plan) SELECT idx, k - 1 AS place FROM w WHERE k <= {_DOCUMENTS} // 20")
 def shuffled_plan(spark, sf_dir):
     """A twentieth of the plan, drawn and in the order drawn."""
-    n = _table(spark, sf_dir, "customer").count()
+    n = _table(spark, sf_dir, "documents").count()
     return planning.drawn(planning.plan(spark, n), "idx", n // 20).select("idx", "place")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import lex
 from tracelake.operators import calls, display, judge, parse, planning, profile, rewrite, validate
-from tracelake.plans.catalogue import _FACTS, _RENDER, NEXT, WITH, _table, query, render_trace
-from tracelake.plans.traces import traces
+from tracelake.plans.catalogue import _FACTS, _RENDER, NEXT, WITH, _table, query, render_trace, rendered
+from tracelake.plans.traces import PARTS, parts, traces
 from tracelake.session import shared_dir
 from tracelake.sources import batch, files
 
@@ -227,11 +227,11 @@ _FAULTY = {
     11: "replace(trace, 'name ↦ find_part', 'title ↦ find_part')",
 }
 _FAULT = "CASE trace_id % 12 " + " ".join(f"WHEN {k} THEN {x}" for k, x in _FAULTY.items()) + " ELSE trace END"
-_BROKEN = f"""WITH whole AS ({_RENDER}), broken AS (SELECT trace_id, trace_id % 12 AS f, size % 3 = 0 AS t, {_FAULT} AS trace FROM (SELECT whole.*, p_size AS size FROM whole JOIN part ON trace_id = p_partkey))"""
+_BROKEN = f"""WITH parts AS ({PARTS}), whole AS ({_RENDER.replace('FROM part', 'FROM parts')}), broken AS (SELECT trace_id, trace_id % 12 AS f, size % 3 = 0 AS t, {_FAULT} AS trace FROM (SELECT whole.*, p_size AS size FROM whole JOIN parts ON trace_id = p_partkey))"""
 
 
 def _faulty(spark, sf_dir):
-    return render_trace(spark, sf_dir).selectExpr("trace_id", f"{_FAULT.replace('strpos(trace, ', 'instr(trace, ')} AS trace")
+    return rendered(parts(spark, sf_dir)).selectExpr("trace_id", f"{_FAULT.replace('strpos(trace, ', 'instr(trace, ')} AS trace")
 
 
 @query(f"""{_BROKEN}, m AS (SELECT *, CASE WHEN t THEN 'tool|' ELSE '' END AS tool, CASE WHEN t THEN 'result|' ELSE '' END AS result FROM broken)

@@ -67,12 +67,21 @@ def _run(i: int) -> str:
     return f"CASE {pick} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(kinds[:-1])) + f" ELSE {kinds[-1]} END"
 
 
+#: Documents in the shape of parts, for traces that are built from short fields.
+PARTS = "SELECT doc_id AS p_partkey, coalesce(source, 'none') AS p_name, coalesce(lang, 'none') AS p_brand, concat('kind ', CAST(doc_id % 7 AS VARCHAR(20))) AS p_type, CAST(n_chars % 50 AS INT) AS p_size FROM documents"
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return spark.sql(PARTS.replace("FROM documents", "FROM {docs}"), docs=docs)
+
+
 #: Per part a trace of eight acts and lines in ever other order, for a second user turn on every fourth.
 ACT_RUNS = "'system「s' || chr(10) || 't」🏷 sys1' || chr(10) || " + " || chr(10) || ".join(["'user「' || p_name || '」🏷 usr1' || chr(10) || 'plan {' || chr(10) || '    todo ↦ { 1 ↦ \"a\" • 2 ↦ \"b\" }' || chr(10) || '}'", *map(_run, range(4)), "CASE WHEN p_size % 4 = 0 THEN 'response「so」' || chr(10) || 'user「more' || chr(10) || p_brand || '」' ELSE ' ' END", *map(_run, range(4, 8)), "'response「' || p_type || '」 ※ usr1'"])
 
 
 def act_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet").selectExpr("p_partkey AS trace_id", f"{ACT_RUNS} AS trace")
+    return parts(spark, sf_dir).selectExpr("p_partkey AS trace_id", f"{ACT_RUNS} AS trace")
 
 
 def _spark_sql() -> str:
