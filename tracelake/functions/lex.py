@@ -126,6 +126,7 @@ def search(text: Text, what: str) -> Column:
 def user_request(prompt: Text) -> Column:
     """First non-empty user block, else the chat template's user turn (both stripped and cut to 500), else the last 500 characters."""
     p = _c(prompt)
+    # fixed patterns of the two forms a request may have
     block, chat = r"(?sU)user「([^」]+)」", r"(?sU)<\|im_start\|>user\s*(.+?)(?:<\|im_end\|>|$)"
     cut = lambda pattern: F.left(strip(F.regexp_extract(p, pattern, 1)), F.lit(500))
     return F.when(F.regexp_like(p, F.lit(block)), cut(block)).when(F.regexp_like(p, F.lit(chat)), cut(chat)).otherwise(F.right(p, F.lit(500)))

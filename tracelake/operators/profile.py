@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.ordered import upper_median
 
+# Bounds of the histogram, and cost factors.
 BOUNDS = [0, 100, 500, 1000, 5000, 10000, 50000]
 COST_PER_1K = {"cost_training": 0.008, "cost_inference": 0.0003}
 

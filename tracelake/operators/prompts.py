@@ -55,6 +55,7 @@ def scenario_prompt(system: Column, tools: Column, request: Column) -> Column:
 
 def inference_prompt(user: Column, system: Column | None = None, tools: Column | None = None) -> Column:
     """Chat prompt that ends with the assistant opener; tools: array<struct<name, description, params map<string,string>>>."""
+    # fixed text
     default = F.lit("You are a helpful AI assistant that completes tasks step by step.")
     s = F.coalesce(F.nullif(system, F.lit("")), default) if system is not None else default
     line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
