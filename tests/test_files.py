@@ -16,7 +16,7 @@ def test_lines_and_objects(spark, tmp_path):
 def test_write_and_read_back(spark, tmp_path):
     df = spark.createDataFrame([(2, "zwei", None), (1, "eins", 1)], "trace_id long, trace string, v int")
     S.write_lines(df, str(tmp_path / "o"))
-    S.write_lines(df, str(tmp_path / "o"), mode="append", limit=1, order="id")
+    S.write_lines(df, str(tmp_path / "o"), mode="append", limit=1, order="trace_id")
     got = [json.loads(x.line) for x in S.lines(spark, str(tmp_path / "o")).collect()]
     assert len(got) == 3 and {"trace_id": 2, "trace": "zwei", "v": None} in got
     S.write_numbered(df, str(tmp_path / "n"))
