@@ -90,3 +90,42 @@ def test_cut_batches_give_the_same_sets():
     assert whole == [J.shingle_sets(pa.array([t]))[0].tolist() for t in texts]
     cut = list(J.slices(batch, "text", 20_000))
     assert len(cut) > 3 and [x.tolist() for p in cut for x in J.shingle_sets(p.column("text"))] == whole
+
+
+def test_template_rows_are_not_paired(spark, monkeypatch):
+    written = {}
+
+    def noted(df, name):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    write = J.materialise
+    monkeypatch.setattr(J, "materialise", noted)
+    rows = [(i, f"all rights reserved by the owner of this page {i}") for i in range(300)]
+    assert run(spark, rows) == sorted((str(i), 6, str(i)) for i in range(300))
+    assert written["members"] >= 300 and written["able"] == written["rest"] == 0
+    # some of them with so much in common that they link, across sizes
+    rows += [(1000 + i, " ".join(f"v{k}" for k in range(30 + i)) + f" {i}") for i in range(8)] + [(2000 + i, f"{i} all rights reserved by the owner of this old page of {i % 3} and no other kind of thing") for i in range(30)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_band_bound_never_exceeds_what_is_needed(spark):
+    r = random.Random(4)
+    cases = []
+    for _ in range(4000):
+        p, n = r.choice([50, 80, 90]), r.randint(1, 900)
+        lo = r.randint(max(1, -(-n * p // 100)), n * 100 // p)
+        hi = lo + r.choice([0, r.randint(0, lo // 15)])
+        x = min(r.randint(lo, hi), n * 100 // p)
+        cases.append((p, n, lo, hi, x))
+    df = spark.createDataFrame(cases, "p int, n int, lo int, hi int, x int")
+    for p in (50, 80, 90):
+        bad = df.where(f"p = {p}").where(J._least_needed(J.F.col("n"), J.F.col("lo"), J.F.col("hi"), p) > J.needed(J.F.col("n"), J.F.col("x"), p))
+        assert bad.count() == 0
+
+
+def test_members_of_many_heads_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(J, "HEAD_PART", 2)
+    rows = corpus(5, 20, 25)
+    assert run(spark, rows) == brute(rows)

@@ -288,26 +288,64 @@ def _with_heads(lists: DataFrame, percent: int) -> DataFrame:
     return materialise(pairs.groupBy("a", "b", "na", "nb").agg(F.min("hub").alias("hub")), "pairs")
 
 
+def _band(n: Column) -> Column:
+    """Sizes in bands of a twentieth, small sizes one by one."""
+    return F.when(n <= 20, n).otherwise(20 + F.floor(F.log(n / 20) * 20)).cast("int")
+
+
+def _least_needed(n: Column, lo: Column, hi: Column, percent: int) -> Column:
+    """A lower bound of needed(n, x) for all x from lo to hi; exact if lo = hi.
+
+    With m as in needed, a set's room is 1 - ceil(t n) + m. Bounding the terms one by one is exact for a single size;
+    for a band, 1 - ceil(t x) > -t x leaves an expression that falls as x grows.
+    """
+    up = lambda x, d: F.floor((x + (d - 1)) / d)
+    mine = 1 - up(n * percent, 100) + up((n + lo) * percent, 100 + percent)
+    each = 1 - up(hi * percent, 100) + up((n + lo) * percent, 100 + percent)
+    t, u = percent / 100, percent / (100 + percent)
+    line = F.floor(n * u - hi * (t - u) - 1e-6) + 1
+    return F.least(mine, F.greatest(each, line))
+
+
 def _across(lists: DataFrame, group: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, hub), not among those tried, of classes in different components that share enough of their lists."""
+    """Pairs (a, b, na, nb, hub), not among those tried, of classes in different components that share enough of their lists.
+
+    Lists are numbered from the shortest to the longest. A pair is written in its first common list, so both of its
+    classes must have the needed weight in that list and longer ones. A long list therefore only pairs members that have
+    little else to share; the texts of a template with one word of their own share too little and are not paired at all.
+    Within a list members meet by bands of sizes, and only those that have the weight for the band they meet.
+    """
     placed = lists.select("h", "c", "n").join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     placed = materialise(placed, "placed")
     # lists with the same members are one list of weight m; x, y and z tell sets of members apart
     opened = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.pmod("c", F.lit(1 << 30))).alias("y"), F.count("*").alias("z")).where("lo <> hi")
-    once = opened.groupBy("x", "y", "z").agg(F.min("h").alias("h"), F.count("*").alias("m"))
+    once = opened.groupBy("x", "y", "z").agg(F.min("h").alias("h"), F.count("*").alias("m")).orderBy("z", "h")
     # the weight rides in the last bits of the list's number; the largest one stands for itself and more
     once = materialise(once.select("h", (F.shiftleft(F.monotonically_increasing_id(), WEIGHT_BITS) + F.least("m", F.lit(MOST))).alias("l")), "open")
-    members = materialise(placed.join(once, "h").drop("h"), "members")
-    # every open list of a class rides along, so that a pair is written in its first common list only, if it has enough
-    own = members.groupBy("c").agg(F.collect_list("l").alias("ls"))
-    rest = materialise(members.join(own, "c"), "rest")
-    side = lambda x: rest.select("l", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("ls").alias(f"ls{x}"), F.col("component").alias(f"g{x}"))
+    worth = lambda l: F.when(l.bitwiseAND(MOST) == MOST, 1 << 40).otherwise(l.bitwiseAND(MOST))
+    by_class = Window.partitionBy("c")
+    later = by_class.orderBy(F.desc("l")).rowsBetween(Window.unboundedPreceding, 0)
+    members = materialise(placed.join(once, "h").drop("h").withColumn("k", F.sum(worth(F.col("l"))).over(later)).withColumn("own", _band(F.col("n"))), "members")
+    bands = members.groupBy("l", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("k").alias("top"))
+    bands = bands.groupBy("l").agg(F.collect_list(F.struct("own", "lo", "hi", "top")).alias("bands"))
+    meets = lambda x: (x.hi * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= x.lo * percent) & (F.least("k", x.top) >= _least_needed(F.col("n"), x.lo, x.hi, percent))
+    able = members.join(bands, "l").select("*", F.explode(F.filter("bands", meets).getField("own")).alias("other")).drop("bands")
+    able = materialise(able, "able")
+    # all open lists of a class that is still there ride along, so that a pair is written in its first common list only
+    needs = able.select("c").distinct()
+    own = members.join(needs, "c", "left_semi").groupBy("c").agg(F.collect_list("l").alias("ls"))
+    rest = materialise(able.join(own, "c"), "rest")
+    side = lambda x: rest.select("l", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias(f"o{x}"), F.col("other").alias(f"w{x}"), F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.col("ls").alias(f"ls{x}"), F.col("component").alias(f"g{x}"))
     common = F.array_intersect("lsa", "lsb")
-    weight = F.aggregate(common, F.lit(0).cast("long"), lambda w, x: w + F.when(x.bitwiseAND(MOST) == MOST, 1 << 40).otherwise(x.bitwiseAND(MOST)))
-    likely = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _close("na", "nb", percent)
-    met = side("a").join(side("b"), "l").where(likely & (F.col("l") == F.array_min(common)) & (weight >= needed(F.col("na"), F.col("nb"), percent))).select("a", "b", "na", "nb", F.lit("a").alias("hub"))
+    weight = F.aggregate(common, F.lit(0).cast("long"), lambda w, x: w + worth(x))
+    need = needed(F.col("na"), F.col("nb"), percent)
+    likely = ((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & (F.col("ga") != F.col("gb")) & _close("na", "nb", percent) & (F.least("ka", "kb") >= need)
+    lower, upper = side("a").where("oa <= wa"), side("b").where("ob >= wb")
+    met = lower.join(upper, ["l", "p", "q"]).where(likely & (F.col("l") == F.array_min(common)) & (weight >= need))
+    turned = F.col("a") > F.col("b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), F.lit("a").alias("hub"))
     cross = materialise(met.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    spent(placed, once, members, rest)
+    spent(placed, once, members, able, rest)
     release(lists.sparkSession)
     return cross
 
@@ -319,7 +357,9 @@ def _count(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shared, percen
     pairs = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD_PART).cast("int").alias("parts"))
     place = lambda p, head: F.struct(F.col("a").alias("g"), p.alias("p"), F.lit(head).alias("head"))
-    members = pairs.join(parts, "a").select(F.col("b").alias("c"), F.lit(-1).alias("run"), place(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), False).alias("at"))
+    # neither a head of many parts nor a member of many heads has all its places in one row
+    runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / 64).cast("int").alias("runs"))
+    members = pairs.join(parts, "a").join(runs, "b").select(F.col("b").alias("c"), (-1 - F.pmod(F.xxhash64("a"), F.col("runs"))).cast("int").alias("run"), place(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), False).alias("at"))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select(F.col("a").alias("c"), F.floor(F.col("p") / 64).cast("int").alias("run"), place(F.col("p"), True).alias("at"))
     wanted = members.unionByName(heads).groupBy("c", "run").agg(F.collect_list("at").alias("at"))
     reps = materialise(wanted.join(classes, wanted["c"] == classes["c1"]).select("rep", "key", "c1", "c2", "cid", "at"), "wanted")
