@@ -41,3 +41,22 @@ def test_rows(spark):
     got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted([("1", TEXT, len(TEXT))] * 2 + [("None", "", 0), ("2", "", 0)])
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def prose(k):
+    return f"<p>This is running text number {k}, with a good many ordinary words in it, and it goes on for a while so that it reads like prose.</p>"
+
+
+def test_links_stay_and_forms_and_asides_in_the_article_go():
+    around = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>Topics</a></li></ul></nav><article>{}</article><footer>&copy; site 2024. All rights reserved.</footer></body></html>"
+    cases = {
+        prose(1) + "<p><a href='/x'>A paragraph that is one link</a></p>" + prose(2): [1, "A paragraph that is one link", 2],
+        "<h1><a href='/x'>The title is a link</a></h1>" + prose(1) + "<h2><a href='/y'>A heading as a link</a></h2>" + prose(2): ["The title is a link", 1, "A heading as a link", 2],
+        prose(1) + prose(2) + "<ul><li><a href='/r1'>First linked reference</a></li><li><a href='/r2'>Second linked reference</a></li></ul>": [1, 2, "First linked reference", "Second linked reference"],
+        prose(1) + "<form><label>Your mail</label><input name=q><button>go</button></form>" + prose(2): [1, 2],
+        prose(1) + "<aside><p>Text beside the article, some words of it.</p></aside>" + prose(2): [1, 2],
+        prose(1) + "<aside>Plain words beside the text.</aside>" + prose(2): [1, 2],
+    }
+    for inner, want in cases.items():
+        text = "\n".join(prose(w)[3:-4] if isinstance(w, int) else w for w in want)
+        assert H.extract([around.format(inner)], H.models()) == [text]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, table
 
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.25
-SAMPLE_PAGES = 500
+SAMPLE_PAGES = 800
 
 BLOCKS = frozenset("html body div section article main aside nav header footer form fieldset table thead tbody tfoot tr td th caption ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog center hgroup menu search legend".split())
 DROPPED = frozenset("script style template noscript textarea select button title svg iframe object canvas head".split())
@@ -207,8 +207,8 @@ def features(page: Page) -> np.ndarray:
             p = parent[i]
             up[i] = np.maximum(up[p], g[p])
             inside[i] = inside[p]
-            if page.tag[p] in ABOVE:
-                inside[i, ABOVE.index(page.tag[p])] = 1
+            if page.tag[i] in ABOVE:  # the element itself counts as inside
+                inside[i, ABOVE.index(page.tag[i])] = 1
             hid[i] = hid[p] or page.hidden[i]
     up_p = np.array([max(0, p) for p in parent])
     prev = np.zeros(n)
@@ -339,9 +339,11 @@ def sample_pages(count: int = SAMPLE_PAGES, seed: int = 7) -> Iterator[tuple[str
             body = f"&copy; {word()} &middot; {said(3, 16)}" if chance(0.6) else f"<p>&copy; {said(2, 9)}</p><ul>{links(4)}</ul>"
             return f"<{t}{mark('foot', 0.95 if t == 'div' else 0.3)}>{body}</{t}>"
         if kind == "side":
-            t = pick(["aside", "div", "section"])
-            body = f"<h3>{said(1, 4, False)}</h3><ul>{links(int(r.integers(2, 8)))}</ul>" if chance(0.6) else f"<h4>{said(1, 4, False)}</h4><p>{said(5, 30)}</p>"
-            return f"<{t}{mark('side', 0.5 if t == 'aside' else 0.95)}>{body}</{t}>"
+            t = pick(["aside", "aside", "div", "section"])
+            named = f"<h4>{said(1, 4, False)}</h4>" if t != "aside" or chance(0.5) else ""
+            said_so = "".join(f"<p>{said(4, 40)}</p>" for _ in range(pick([1, 1, 2]))) if named or chance(0.6) else said(4, 40)
+            body = f"<h3>{said(1, 4, False)}</h3><ul>{links(int(r.integers(2, 8)))}</ul>" if chance(0.4) else named + said_so
+            return f"<{t}{mark('side', 0.3 if t == 'aside' else 0.95)}>{body}</{t}>"
         if kind == "ad":
             body = said(2, 25) if chance(0.6) else f"<p>{said(2, 20)}</p><a href='/ad'>{said(1, 4, False)}</a>"
             return f"<!-- ad --><div{mark('ad', 0.97)}>{body}</div>"
@@ -355,12 +357,14 @@ def sample_pages(count: int = SAMPLE_PAGES, seed: int = 7) -> Iterator[tuple[str
         return f"<form{mark('form', 0.5)}><label>{said(1, 3, False)}</label><input name=q><p>{said(2, 10)}</p><button>go</button></form>"
 
     for _ in range(count):
-        loud, caps = chance(0.25), chance(0.1)
+        loud, caps, linked = chance(0.25), chance(0.1), pick([0, 0, 0.1, 0.3])
         main: list[str] = []
 
         def block(tag: str, t: str) -> str:
             main.append(t)
-            if tag == "p" and chance(0.3):
+            if chance(linked):  # the whole block is a link
+                t = f'<a href="/{word()}">{t}</a>'
+            elif tag == "p" and chance(0.3):
                 t = f"<b>{t}{pick(['</b>', '<br>'])}" if chance(0.6) else t.replace(" ", f' <a href="/x">{word()}</a> ', 0)
             close = "" if tag in ("p", "li") and chance(0.25) else f"</{tag}>"
             return f"<{tag}>{t}{close}"
@@ -373,7 +377,9 @@ def sample_pages(count: int = SAMPLE_PAGES, seed: int = 7) -> Iterator[tuple[str
             elif kind < 0.82:
                 parts.append(block(pick(["h2", "h3"]), said(1, 7, False)))
             elif kind < 0.88:
+                usual, linked = linked, pick([linked, linked, 1])  # a list of references is all links
                 parts.append(f"<{(t := pick(['ul', 'ol']))}>" + "".join(block("li", said(1, 18)) for _ in range(int(r.integers(2, 7)))) + f"</{t}>")
+                linked = usual
             elif kind < 0.92:
                 parts.append(f"<blockquote>{block('p', said(5, 40))}</blockquote>")
             elif kind < 0.95:
@@ -384,8 +390,8 @@ def sample_pages(count: int = SAMPLE_PAGES, seed: int = 7) -> Iterator[tuple[str
                 parts.append(block("pre", said(4, 30)))
         if not main:
             parts.append(block("p", said(1, 80)))
-        if chance(0.3):
-            parts.insert(int(r.integers(len(parts) + 1)), junk(pick(["ad", "share", "side", "note"])))
+        for _ in range(pick([0, 0, 1, 2])):
+            parts.insert(int(r.integers(len(parts) + 1)), junk(pick(["ad", "share", "side", "side", "note", "form", "menu"])))
         shape = r.random()
         story = "\n".join(parts) if chance(0.3) else "".join(parts)
         if shape < 0.6:
