@@ -42,6 +42,16 @@ def test_token_cache_follows_content(spark, tmp_path):
     assert len(list(calls.iterdir())) > n
 
 
+def test_tokenizers_get_texts_of_bounded_size(spark):
+    """However many texts a batch has, few are Python objects at once."""
+    df = spark.createDataFrame([(i, "é" * 5000 if i % 3 else None) for i in range(600)], "i int, t string").repartition(1)
+    count = profile.counted_by(lambda ts: [len(ts) if t else 0 for t in ts])
+    ids = profile.tokenized(df, "t", lambda ts: [[len(ts)] * 2 for _ in ts], most=9, least=1).collect()
+    counts = {r.i: r.n for r in df.select("i", count("t").alias("n")).collect()}
+    assert len(ids) == 400 and len(counts) == 600 and all((counts[i] > 0) == (i % 3 > 0) for i in counts)
+    assert max(r.input_ids[0] for r in ids) <= 40 and max(counts.values()) <= 60
+
+
 def test_latest_checkpoint(spark, tmp_path):
     for n in ("checkpoint-9", "checkpoint-10", "checkpoint-x", "other"):
         (tmp_path / n).mkdir()

@@ -5,14 +5,12 @@ Well-formed texts are answered for a whole batch at once by the structural index
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.pieces import pieces
 from tracelake.operators import index
 from tracelake.operators.scanner import scan
 
@@ -34,20 +32,10 @@ def facts_of(text: str | None, strict: bool) -> dict:
     }
 
 
-def _pieces(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
-    """Consecutive texts of about limit bytes together (one text at least)."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
-        yield texts.slice(start, stop - start)
-        start = stop
-
-
 def facts_of_batch(texts: pa.Array, strict: bool, limit: int = 8 << 20) -> pa.Array:
     """Facts of all texts (a struct array), in order; a null text is empty. limit: bytes of text indexed at once."""
     out = []
-    for some in _pieces(texts, limit):
+    for some in pieces(texts, limit):
         whole, ok = index.facts(some, strict)
         if not ok.all():
             rest = pa.array([facts_of(t, strict) for t in some.filter(pa.array(~ok)).to_pylist()], whole.type)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.ordered import upper_median
+from tracelake.functions.pieces import mapped
 
 # Bounds of the histogram, and cost factors.
 BOUNDS = [0, 100, 500, 1000, 5000, 10000, 50000]
@@ -23,11 +24,11 @@ def estimate(text: Column | str) -> Column:
 
 
 def counted_by(encode: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
-    """A token counter around any tokenizer: encode gives the count of each text of a batch."""
+    """A token counter around any tokenizer: encode gives the count of each of some texts."""
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode(texts.fillna("").tolist()))
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return mapped(batches, encode, pa.int64())
 
     return run
 
@@ -68,9 +69,9 @@ def truncation(rows: DataFrame, most: int, least: int = 100) -> DataFrame:
 def tokenized(df: DataFrame, text: str, encode: Callable[[list[str]], list[list[int]]], most: int, least: int = 100) -> DataFrame:
     """input_ids, attention_mask, labels of at most most tokens; rows of least tokens or fewer go."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode(texts.fillna("").tolist()))
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return mapped(batches, encode, pa.list_(pa.int32()))
 
     cut = df.where(F.col(text).isNotNull()).select(F.slice(ids.asNondeterministic()(F.col(text)), 1, most).alias("input_ids"))
     return cut.where(F.size("input_ids") > least).select("input_ids", F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"), F.col("input_ids").alias("labels"))
