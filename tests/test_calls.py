@@ -5,8 +5,10 @@ import re
 import sys
 import threading
 import time
+import tracemalloc
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -186,3 +188,13 @@ def test_verdict_store(spark, tmp_path):
     assert left.count() == 60 - lost
     asked = judge.judged(df, left, counted(tmp_path / "v2", lambda t: "{}") if (tmp_path / "v2").mkdir() is None else None)
     assert asked.where("cached").count() == 60 - lost and sum(asked_for(tmp_path / "v2").values()) == lost
+
+
+def test_texts_of_a_batch_become_strings_piece_by_piece():
+    keys, texts = pa.array(range(2000)), pa.array([None if i % 5 == 4 else f"{i}" + "é" * 4000 for i in range(2000)])
+    tracemalloc.start()
+    seen = [(k.as_py(), t and (t[:4].rstrip("é"), len(t))) for k, t in calls._pairs(keys, texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [(i, None if i % 5 == 4 else (str(i), 4000 + len(str(i)))) for i in range(2000)]
+    assert peak < 3 << 20  # 13 MB as strings

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.ordered import unused, with_ordinal
+from tracelake.functions.pieces import pieces
 from tracelake.session import written
 
 RETRIES, LONGEST_PAUSE = 3, 8
@@ -62,7 +63,7 @@ def asked(rows: DataFrame, key: str, text: str, ask: Ask, window: int = 8, tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = lambda x: (x[0], *((None, None, 0) if x[1] is None else call(ask, x[1], **how)))
-        work = (x for b in batches for x in zip(b.column("key"), b.column("text").to_pylist()))
+        work = (x for b in batches for x in _pairs(b.column("key"), b.column("text")))
         with ThreadPoolExecutor(window) as pool:
             out: list[tuple] = []
             size = 0
@@ -79,6 +80,13 @@ def asked(rows: DataFrame, key: str, text: str, ask: Ask, window: int = 8, tasks
     return written(one.mapInArrow(run, f"key {kind}, {REPLY}"), "asked").withColumnRenamed("key", key)
 
 
+def _pairs(keys: pa.Array, texts: pa.Array) -> Iterator[tuple]:
+    at = 0
+    for some in pieces(texts):
+        yield from zip(keys.slice(at, len(some)), some.to_pylist(), strict=True)
+        at += len(some)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     keys = pa.array([r[0].as_py() for r in rows], rows[0][0].type)
     rest = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()))]
