@@ -1,4 +1,7 @@
 import json
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 from tracelake.sources import files as S
 
@@ -33,3 +36,17 @@ def test_batch_results(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text(json.dumps(ok) + "\n" + json.dumps({"custom_id": "trace-2", "error": {"code": 1}, "response": None}) + "\n")
     got = {r.custom_id: (r.error, r.content) for r in S.batch_results(spark, str(tmp_path / "r.jsonl")).collect()}
     assert got["trace-1"] == (None, " t ") and got["trace-2"][0] and got["trace-2"][1] is None
+
+
+def test_rows_of_one_checkpoint_are_written_by_many_tasks(spark, tmp_path):
+    """Most orders belong to one folder; they stay where they are read."""
+    from tracelake.plans import file_catalogue
+    from tracelake.session import shared_dir
+
+    spark.range(4000).select(F.col("id").alias("o_orderkey")).repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    top = Path(shared_dir(spark).removeprefix("file:")) / "tracelake" / spark.sparkContext.applicationId
+    old = set(top.glob("run-*"))
+    got = file_catalogue.latest_checkpoint(spark, str(tmp_path)).first()
+    assert tuple(got) == ("checkpoint-9990", None, 4)
+    (run,) = [d for d in set(top.glob("run-*")) - old if not d.name.endswith("-by")]
+    assert len(list((run / "other-99999").glob("*.parquet"))) == 4
