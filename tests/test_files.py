@@ -50,3 +50,24 @@ def test_rows_of_one_checkpoint_are_written_by_many_tasks(spark, tmp_path):
     assert tuple(got) == ("checkpoint-9990", None, 4)
     (run,) = [d for d in set(top.glob("run-*")) - old if not d.name.endswith("-by")]
     assert len(list((run / "other-99999").glob("*.parquet"))) == 4
+
+
+def test_array_with_an_element_a_line_is_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, f'a\n"{{[,]}}" \\ {i} 」') for i in range(2000)] + [(None, None)]
+    S.write_array(spark.createDataFrame(rows, "trace_id long, trace string"), str(tmp_path / "a"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = S.scenarios(spark, str(tmp_path / "a"), "trace_id long, trace string")
+        assert got.rdd.getNumPartitions() > 2 and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_arrays_of_any_layout(spark, tmp_path):
+    items = [{"a": 1, "b": [{}, {"c": "x,\n]"}]}, {"a": 2, "b": []}]
+    nested = '[{"a":1,"b":[{}\n,{"c":"x,\\n]"}]}\n,{"a":2,"b":[]}\n]\n'  # its lines look like elements
+    for n, text in enumerate((json.dumps(items), json.dumps(items, indent=1), nested, f"[{json.dumps(items[0])}\n\n,{json.dumps(items[1])}\n]", "[]", "[]\n")):
+        p = tmp_path / f"{n}.json"
+        p.write_text(text)
+        got = S.scenarios(spark, str(p), "a int, b array<struct<c:string>>").collect()
+        assert [(r.a, [x.c for x in r.b]) for r in got] == [(x["a"], [y.get("c") for y in x["b"]]) for x in json.loads(text)], text
